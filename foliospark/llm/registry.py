@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from foliospark.llm import exact_dedup, mixing, url_filter
+from foliospark.llm import decontamination, exact_dedup, mixing, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
 }
 ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
     "op2_source_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
