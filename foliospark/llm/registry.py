@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, exact_dedup, mixing, url_filter
+from foliospark.llm import decontamination, exact_dedup, mixing, near_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
 }
