@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, exact_dedup, mixing, near_dedup, url_filter
+from foliospark.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    quality,
+    url_filter,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +18,8 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_language_id": language_id.op7_language_id,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE,
