@@ -250,6 +250,14 @@ def find_leaks(
     return rows.withColumn("spans", merged)
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the rows that contain a phrase of the benchmark; all columns stay as they are."""
+    mark = F.xxhash64("doc_id", "text")  # tells apart texts that share a doc_id
+    leaks = find_leaks(docs.select(mark.alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0)
+    gone = stored(leaks.select(F.col("doc_id").alias("_fs_mark")).distinct(), "leaks")
+    return docs.withColumn("_fs_mark", mark).join(gone, "_fs_mark", "left_anti").select(*docs.columns)
+
+
 def digest(leaks: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["ends"] - s["starts"])
     return leaks.select(

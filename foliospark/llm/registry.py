@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from foliospark.llm import (
+    chat_format,
     decontamination,
     exact_dedup,
     language_id,
     mixing,
     near_dedup,
     quality,
+    sentence_spans,
     url_filter,
 )
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_language_id": language_id.op7_language_id,
+    "op8_chat_format": chat_format.op8_chat_format,
+    "op9_sentence_spans": sentence_spans.op9_sentence_spans,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
@@ -26,4 +30,6 @@ ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+    "op9_sentence_spans": sentence_spans.ORACLE,
 }

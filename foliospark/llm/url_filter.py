@@ -140,7 +140,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(list(RULES), "verdict string, host string, path string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*map(F.lit, r)) for r in RULES])).alias("verdict", "host", "path"))
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
