@@ -11,6 +11,7 @@ from foliospark.llm import (
     near_dedup,
     quality,
     sentence_spans,
+    suffix_array,
     url_filter,
 )
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_suffix_array": suffix_array.op4_suffix_array,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_language_id": language_id.op7_language_id,
@@ -26,6 +28,7 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
+    "op4_suffix_array": suffix_array.ORACLE,
     "op1_decontamination": decontamination.ORACLE,
     "op2_source_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
