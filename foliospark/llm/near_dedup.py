@@ -12,11 +12,12 @@ are followed only up to a time by which all components have most likely been met
 is doubled. So about M ln M points are made per document, whatever its length.
 
 Linking: documents with the same shingle sequence are one class from the start. The others share a bucket
-if they agree in all ROWS components of one of BANDS bands. Buckets are never expanded into all
-pairs: in each round a bucket names a leader (later: up to 64 leaders) out of its smallest component, all members of
-other components are compared with it, leaders leave, and a bucket closes when one component is left.
-A pair of a bucket is thus compared unless already connected: no link between classes is lost, and a bucket of
-copies of one text costs one comparison per member. Buckets, pairs and components stay distributed; hot buckets
+if they agree in all ROWS components of one of BANDS bands. Buckets are not expanded into all
+pairs. Each names a leader, its member with the most company, and all are compared with it: a bucket of
+copies of one text costs one comparison per member, and most buckets are of one component then. In
+those that are not, members of different components are compared block by block, apart from pairs that
+their distances to the leader rule out. A pair of a bucket is thus compared unless it is connected already or
+can't be linked: no link between classes is lost. Buckets, blocks, links and components stay distributed; hot buckets
 are aggregated map-side and joined with joins that Spark may split.
 
 Defined cases: null and empty texts, and texts without a word, are classes of their own (one per row
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from foliospark.llm.common import WORD_BYTES, stored
 
@@ -39,6 +39,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 M = BANDS * ROWS
 BATCH_BYTES = 4 << 20
+#: Members in a block, and slices of the distance to a leader.
+BLOCK, SLICES = 64, 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -239,73 +241,114 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are linked. texts: node, text, of all nodes of the pairs."""
+def _bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    d, e, w = multisets(*shingles(texts))
+    cut = np.searchsorted(d, np.arange(len(texts) + 1))
+    return [(e[s:t], w[s:t]) for s, t in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, leader and their similarity, for pairs (node, leader). texts: node, text, of all of them."""
 
     def verify(batches):
         for batch in batches:
-            a, b, ta, tb = (c.cast(pa.binary()).to_pylist() if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns)
-            seen: dict = {}
+            a, b = (batch.column(k).to_pylist() for k in (0, 1))
+            ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
             fresh = {**dict(zip(a, ta)), **dict(zip(b, tb))}
-            d, e, w = multisets(*shingles([t or b"" for t in fresh.values()]))
-            cut = np.searchsorted(d, np.arange(len(fresh) + 1))
-            for k, node in enumerate(fresh):
-                seen[node] = (e[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]])
-            ok = [similarity(seen[x], seen[y]) >= threshold for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, o in zip(a, ok) if o], pa.int64()), pa.array([y for y, o in zip(b, ok) if o], pa.int64())], names=["a", "b"]
-            )
+            bag = dict(zip(fresh, _bags(list(fresh.values()))))
+            found = [similarity(bag[x], bag[y]) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["node", "leader", "sim"])
+
+    own = texts.select("node", F.col("text").alias("own_text"))
+    other = texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
+    rows = pairs.join(own, "node").join(other, "leader").select("node", "leader", "own_text", "leader_text")
+    return rows.mapInArrow(verify, "node bigint, leader bigint, sim double")
+
+
+def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) between members of one bucket that are of different components.
+
+    members: bucket, band, node, comp, far (1 - similarity to the bucket's leader). A bucket's members are dealt to blocks of about
+    BLOCK, apart by whether they are of the largest component and by slices of far. Blocks meet if their slices allow a link
+    (distances to the leader differ by 1 - threshold at most, as this distance is a metric) and they aren't both of the largest
+    component. A pair is looked at in the first band that it shares.
+    """
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("main"))
+    sliced = members.join(largest, "bucket").select(
+        "bucket", "band", "node", "comp", (F.col("comp") == F.col("main")).alias("inner"), F.floor(F.col("far") * SLICES).cast("int").alias("slice")
+    )
+    many = sliced.groupBy("bucket", "inner", "slice").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = sliced.join(many, ["bucket", "inner", "slice"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = dealt.join(texts, "node").groupBy("bucket", "band", "inner", "slice", "block").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("comp").alias("comps"), F.collect_list("bands").alias("bands"), F.collect_list("text").alias("texts")
+    )
+    blocks = stored(blocks, "blocks")
+    near = int(np.ceil((1 - threshold) * SLICES - 1e-9)) + 1
+    left = blocks.where("NOT inner").select("bucket", "band", *[F.col(c).alias(f"l_{c}") for c in ("slice", "block", "nodes", "comps", "bands", "texts")])
+    right = blocks.select("bucket", *[F.col(c).alias(f"r_{c}") for c in ("inner", "slice", "block", "nodes", "comps", "bands", "texts")])
+    met = left.join(right, "bucket").where(
+        (F.abs(F.col("l_slice") - F.col("r_slice")) <= near)
+        & (F.col("r_inner") | (F.struct("l_slice", "l_block") <= F.struct("r_slice", "r_block")))
+    )
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(verify, "a bigint, b bigint")
+    def verify(batches):
+        bag: dict = {}
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                band, texts = row["band"], {}
+                for side in "lr":
+                    texts |= dict(zip(row[f"{side}_nodes"], row[f"{side}_texts"]))
+                new = [n for n in texts if n not in bag]
+                if len(bag) > 20 * BLOCK:
+                    bag, new = {}, list(texts)
+                bag |= dict(zip(new, _bags([texts[n].encode() for n in new])))
+                ours, theirs = (np.array(row[f"{side}_bands"], np.int64) for side in "lr")
+                first = (ours[:, None, :] == theirs[None, :, :]).argmax(2)
+                other = np.array(row["l_comps"])[:, None] != np.array(row["r_comps"])[None, :]
+                for i, j in zip(*(x.tolist() for x in np.nonzero((first == band) & other))):
+                    x, y = row["l_nodes"][i], row["r_nodes"][j]
+                    if similarity(bag[x], bag[y]) >= threshold:
+                        a.append(min(x, y))
+                        b.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ["band", *[f"{side}_{c}" for side in "lr" for c in ("nodes", "comps", "bands", "texts")]]
+    return met.select(*columns).mapInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, text_hash, class_id, class_size."""
+    """One row per distinct (doc_id, text): doc_id, text_hash, class_id, class_size, kept."""
     signed = signatures(docs)
     keyed = signed.where("n_shingles > 0")
     # one node for the documents with the same shingle sequence
-    alike = keyed.groupBy("sequence").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("bands").alias("bands")
-    )
+    alike = keyed.groupBy("sequence").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("bands").alias("bands"))
     nodes = stored(alike.select("sequence", "first", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_rows = stored(member.join(shared, "bucket").withColumn("comp", F.col("node")), "buckets")
-    first = nodes.join(open_rows.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.text_hash")
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(member.join(shared, "bucket"), "buckets")
+    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "bands", "first.doc_id", "first.text_hash")
     left = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     texts = left.join(
         first.hint("shuffle_hash"), left["doc_id"].eqNullSafe(first["doc_id"]) & (left["text_hash"] == first["text_hash"])
-    ).select("node", "text")
+    ).select("node", "bands", "text")
     texts = stored(texts.dropDuplicates(["node"]), "texts")  # fully repeated rows
-    links = None
-    leaders = 1
-    while True:
-        if leaders == 1:
-            head = open_rows.groupBy("bucket").agg(F.min("node").alias("leader"))
-        else:
-            sizes = open_rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-            ranked = open_rows.join(sizes, ["bucket", "comp"]).withColumn(
-                "k", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "comp", "node"))
-            )
-            head = ranked.where(F.col("k") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("comp").alias("leader_comp"))
-        head = stored(head, "leaders")
-        pairs = open_rows.join(head, "bucket").where("node <> leader")
-        if leaders > 1:
-            pairs = pairs.where("comp <> leader_comp")
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = stored(_compare(pairs, texts, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = stored(components(links), "components")
-        rest = open_rows.drop("comp").join(head.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        open_rows = stored(rest.join(mixed, "bucket"), "buckets")
-        if open_rows.isEmpty():
-            break
-        leaders = 8 if leaders == 1 else min(64, leaders * 2)
+    # the leader of a bucket is its member with the most company over all bands: copies gather around their original
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    head = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("leader"))
+    led = stored(members.select("bucket", "band", "node").join(head, "bucket"), "led")
+    pairs = led.where("node <> leader").select("node", "leader").distinct()
+    compared = stored(_with_leaders(pairs, texts), "compared")
+    links = compared.where(F.col("sim") >= threshold).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    comp = stored(components(links), "components")
+    # what is left of a bucket without its leader, if it is of several components
+    rest = led.where("node <> leader").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    rest = rest.join(mixed, "bucket").join(compared, ["node", "leader"]).select("bucket", "band", "node", "comp", (1 - F.col("sim")).alias("far"))
+    more = stored(_between_blocks(stored(rest, "open"), texts.select("node", "bands", "text"), threshold), "links")
+    if not more.isEmpty():
+        comp = stored(components(links.unionByName(more)), "components")
     rows = keyed.select("doc_id", "text_hash", "sequence").distinct()
     classed = (
         rows.join(nodes.select("sequence", "node"), "sequence")
