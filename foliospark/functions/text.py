@@ -34,24 +34,38 @@ def _accents() -> tuple[str, str]:
 ACCENTED, BASES = _accents()
 
 
+# How umlauts are written out.
+UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
+DECOMPOSED = tuple((unicodedata.normalize("NFD", u), w) for u, w in UMLAUTS[:3])
+
+
+def _ascii_fast(text: Column, rest: Callable[[Column], Column]) -> Column:
+    """Lower-cased text; only texts with letters beyond ASCII take the slow steps of rest."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(rest(low))
+
+
 def fold(text: Column) -> Column:
     """Lower-cased without diacritics: what the search index compares (ä is a, ß stays)."""
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, BASES), r"\p{Mn}+", "")
+    return _ascii_fast(text, lambda t: F.regexp_replace(F.translate(t, ACCENTED, BASES), r"\p{Mn}+", ""))
 
 
 def norm(text: Column) -> Column:
     """Lower-cased, umlauts written out, other diacritics dropped (ä is ae, é is e)."""
-    out = F.lower(text)
-    for umlaut, written in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
-        out = F.replace(out, F.lit(umlaut), F.lit(written))
-    return F.regexp_replace(F.translate(out, ACCENTED, BASES), r"\p{Mn}+", "")
+
+    def written(t: Column) -> Column:
+        for umlaut, letters in (*UMLAUTS, *DECOMPOSED):
+            t = F.replace(t, F.lit(umlaut), F.lit(letters))
+        return F.regexp_replace(F.translate(t, ACCENTED, BASES), r"\p{Mn}+", "")
+
+    return _ascii_fast(text, written)
 
 
 def norm_py(text: str) -> str:
     """The exact definition of norm, with Unicode's compatibility forms."""
     text = unicodedata.normalize("NFKC", text).lower()
-    for umlaut, written in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
-        text = text.replace(umlaut, written)
+    for umlaut, letters in UMLAUTS:
+        text = text.replace(umlaut, letters)
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 

@@ -15,6 +15,7 @@ from foliospark.functions import text as T
 from foliospark.functions.reference_data import FOLDER_KEYWORDS, STOPWORDS, TOO_GENERIC
 from foliospark.operators import catalog, classify, export, folders, metadata, search, terms
 from foliospark.plans import bindings as B
+from foliospark.sources import files as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -650,3 +651,28 @@ def export_payload(spark, sf):
     numbers = spark.range(100, 115).select(F.col("id").alias("folder_id"), (F.col("id") * 10).alias("remote_id"))
     senders = docs.where("folder_id % 2 = 0").select(F.col("correspondent").alias("name"), (F.col("folder_id") + 5000).alias("remote_id")).distinct()
     return export.payload(docs, numbers, types, senders)
+
+
+# --------------------------------------------------------------------------- files
+
+
+@query()
+def extract_files(spark, sf):
+    """Pages as HTML files and their rendering as other kinds, through the file parsers."""
+    pages = B.table(spark, sf, "pages")
+    kinds = F.array(*[F.lit(k) for k in (".html", ".txt", ".xyz", ".docx")])
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(kinds, (F.col("page_id") % 4).cast("int")))
+    rows = sources.extract_files(pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")))
+    return rows.select("path", "text", "pages", "method", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query()
+def text_pdf(spark, sf):
+    rows = sources.text_pdfs(B.catalog(spark, sf).select("id", "title", "text"))
+    return rows.select("id", F.octet_length("pdf").cast("long").alias("size"), F.sha2("pdf", 256).alias("sha256"))
+
+
+@query("SELECT conv_id AS scan_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS pages FROM conversations GROUP BY conv_id")
+def merge_scans(spark, sf):
+    turns = B.table(spark, sf, "conversations")
+    return sources.merge_scans(turns.select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("no"), "text"))
