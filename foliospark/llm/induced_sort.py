@@ -1,7 +1,7 @@
 """External suffix sorting by induced sorting with disk-backed priority queues.
 
 The suffixes of a text are of type S (smaller than the next one) or L (larger). The S suffixes behind an L one, LMS
-for short, cut the text into substrings; sorting these by induction gives them names, the text of the names is sorted
+for short, cut the text into substrings; these are sorted and named, the text of the names is sorted
 by recursion, and its order induces the order of all suffixes: the L suffixes out of the LMS ones in ascending, the S
 suffixes out of the L ones in descending order.
 
@@ -19,11 +19,17 @@ import tempfile
 
 import numpy as np
 
-RANGES = 128
+RANGES = 256
 #: Tuples that make a range worth its own list.
 PER_RANGE = 2048
+#: Longer chains within a range are followed step by step.
+MAX_CHAIN = 8
 BUDGET = 48 << 20
-_NEVER = np.iinfo(np.int32).max
+
+
+def key_kind(n_keys: int) -> type:
+    """The smallest type that holds the keys and a larger value for 'none'."""
+    return np.int16 if n_keys < np.iinfo(np.int16).max else np.int32
 
 
 class RangeQueue:
@@ -34,6 +40,7 @@ class RangeQueue:
         while (n_keys >> self.shift) > max(8, min(RANGES, size // PER_RANGE)):
             self.shift += 1
         self.ranges = (n_keys >> self.shift) + 1
+        self.kind = key_kind(n_keys)
         self.memory: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(self.ranges)]
         self.on_disk: dict[int, str] = {}
         self.folder, self.budget, self.held = folder, budget, 0
@@ -41,7 +48,7 @@ class RangeQueue:
     def push(self, keys: np.ndarray, at: np.ndarray) -> None:
         if not len(keys):
             return
-        r = (keys >> self.shift).astype(np.uint16)
+        r = (keys >> self.shift).astype(np.uint16) if self.shift or keys.dtype != np.int16 else keys
         if r[0] == r[-1] and (r == r[0]).all():
             self.memory[int(r[0])].append((keys, at))
         else:
@@ -60,7 +67,7 @@ class RangeQueue:
                 path = self.on_disk.setdefault(r, os.path.join(self.folder, f"range-{id(self)}-{r}"))
                 with open(path, "ab") as f:
                     for keys, at in held:
-                        np.stack([keys, at], 1).tofile(f)
+                        np.stack([keys.astype(np.int32), at], 1).tofile(f)
                 self.memory[r] = []
         self.held = 0
 
@@ -71,7 +78,7 @@ class RangeQueue:
             path = self.on_disk.pop(r)
             rows = np.fromfile(path, np.int32).reshape(-1, 2)
             os.remove(path)
-            keys.append(rows[:, 0])
+            keys.append(rows[:, 0].astype(self.kind))
             at.append(rows[:, 1])
         for k, a in self.memory[r]:
             keys.append(k)
@@ -79,19 +86,64 @@ class RangeQueue:
             self.held -= 8 * len(k)
         self.memory[r] = []
         if not keys:
-            return np.empty(0, np.int32), np.empty(0, np.int32)
+            return np.empty(0, self.kind), np.empty(0, np.int32)
         return (keys[0], at[0]) if len(keys) == 1 else (np.concatenate(keys), np.concatenate(at))
 
 
+def _whole_range(keys: np.ndarray, at: np.ndarray, put: np.ndarray, never: int, r: int, shift: int):
+    """All of a range at once: (keys, positions) in order, and what goes to later ranges; None if chains within the range are long.
+
+    Members that came from outside are ordered by symbol and arrival; those that members of the range put in come after
+    them within their symbol, in the order of their sources, which settles in as many steps as such chains are long.
+    """
+    own = len(at)
+    members_key, members, sources = [keys], [at], []
+    begin, targets = 0, []
+    for _ in range(MAX_CHAIN + 1):
+        target = put[members[-1] - 1]
+        targets.append(target)
+        here = np.flatnonzero((target != never) & ((target >> shift) == r))
+        if not len(here):
+            break
+        sources.append(begin + here)
+        begin += len(members[-1])
+        members_key.append(target[here])
+        members.append(members[-1][here] - 1)
+    else:
+        return None
+    if sources:
+        keys, at, target = np.concatenate(members_key), np.concatenate(members), np.concatenate(targets)
+        source = np.concatenate(sources)
+        second = np.arange(len(at), dtype=np.int64)
+        high = keys.astype(np.int64) << 32
+        order = np.argsort(high | second)
+        while True:
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at))
+            second[own:] = own + rank[source]
+            now = np.argsort(high | second)
+            if (now == order).all():
+                break
+            order = now
+    else:
+        target = targets[0]
+        order = np.argsort(keys, kind="stable")
+    keys, at, target = keys[order], at[order], target[order]
+    out = (target != never) & ((target >> shift) != r)
+    return keys, at, target[out], at[out] - 1
+
+
 def _induce(text: np.ndarray, n_keys: int, seeds: np.ndarray, wanted: np.ndarray, first: int | None, emit_seeds: bool, folder: str, budget: int) -> np.ndarray:
     """Positions in the order in which they leave the queue; seeds are sorted sources that come after the others of their symbol."""
     queue = RangeQueue(2 * n_keys, folder, budget, len(text))
+    kind = queue.kind
+    never = np.iinfo(kind).max
     if first is not None:
-        queue.push(np.array([2 * int(text[first])], np.int32), np.array([first], np.int32))
+        queue.push(np.array([2 * int(text[first])], kind), np.array([first], np.int32))
     # what the suffix at p puts into the queue has the key put[p - 1]; nothing stands before position 0
-    put = np.full(len(text) + 1, _NEVER, np.int32)
-    np.copyto(put[:-1], 2 * text.astype(np.int32), where=wanted)
-    seed_keys = 2 * text[seeds].astype(np.int32) + 1
+    put = np.full(len(text) + 1, never, kind)
+    np.copyto(put[:-1], text.astype(kind) * kind(2), where=wanted)
+    seed_keys = text[seeds].astype(kind) * kind(2) + kind(1)
     seed_range = seed_keys >> queue.shift
     bounds = np.searchsorted(seed_range, np.arange(queue.ranges + 1))
     out: list[np.ndarray] = []
@@ -101,6 +153,13 @@ def _induce(text: np.ndarray, n_keys: int, seeds: np.ndarray, wanted: np.ndarray
         if len(mine):
             keys = np.concatenate([keys, seed_keys[bounds[r] : bounds[r + 1]]])
             at = np.concatenate([at, mine])
+        if queue.shift > 1 and len(at):
+            whole = _whole_range(keys, at, put, never, r, queue.shift)
+            if whole is not None:
+                keys, at, new_keys, new = whole
+                out.append(at if emit_seeds else at[(keys & 1) == 0])
+                queue.push(new_keys, new)
+                continue
         if len(keys) > 1:
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
@@ -114,7 +173,7 @@ def _induce(text: np.ndarray, n_keys: int, seeds: np.ndarray, wanted: np.ndarray
                 if late[k]:
                     m = k + 1
             out.append(at[:m] if emit_seeds else at[:m][(keys[:m] & 1) == 0])
-            ok = target[:m] != _NEVER
+            ok = target[:m] != never
             new_keys, new = target[:m][ok], before[:m][ok]
             here = (new_keys >> queue.shift) == r
             keys, at = keys[m:], at[m:]
@@ -147,28 +206,46 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rises[decided]
 
 
-def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Of each LMS substring, in text order, its rank among the distinct ones; order: LMS positions, sorted."""
-    number = np.zeros(len(text), np.int32)
-    number[lms] = np.arange(len(lms), dtype=np.int32)
-    length = np.append(np.diff(lms) + 1, len(text) + 2).astype(np.int64)  # the last ends at the end: unlike all others
-    k = number[order]
-    a, b = order[:-1], order[1:]
-    same = length[k[:-1]] == length[k[1:]]
-    left = np.flatnonzero(same)
-    offset = 0
-    while len(left):
-        left = left[length[k[left]] > offset]
-        if not len(left):
-            break
-        differ = text[a[left] + offset] != text[b[left] + offset]
-        same[left[differ]] = False
-        left = left[~differ]
-        offset += 1
-    rank = np.concatenate([[0], np.cumsum(~same)]).astype(np.int32)
-    named = np.empty(len(lms), np.int32)
-    named[k] = rank
-    return named, int(rank[-1]) + 1
+def _dense(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+
+
+def _names(text: np.ndarray, n_keys: int, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of each LMS substring, in text order, its rank among the distinct ones.
+
+    A substring reaches to the next LMS position, with it. Symbols are packed into words, as many as fit, and words sorted. Where a
+    substring ends, another with the same symbols goes on with an L suffix, and so is smaller: an end counts
+    more than any symbol. Only the end of the text counts less.
+    """
+    bits = int(n_keys + 1).bit_length()
+    per_word = 63 // bits
+    length = np.append(np.diff(lms) + 1, len(text) + 1 - lms[-1]).astype(np.int64)
+    padded = np.concatenate([text.astype(np.int64) + 1, [0]])
+
+    def word(which: np.ndarray, block: int) -> np.ndarray:
+        out = np.zeros(len(which), np.int64)
+        for j in range(block * per_word, (block + 1) * per_word):
+            inside = j < length[which]
+            symbol = padded[np.where(inside, lms[which].astype(np.int64) + j, -1)]
+            out = (out << bits) | np.where(inside, symbol, n_keys + 1)
+        return out
+
+    everything = np.arange(len(lms))
+    rank = _dense(word(everything, 0))
+    long = np.flatnonzero(length >= per_word)  # their end is in none of the symbols so far
+    if len(long):
+        blocks = int(length[long].max()) // per_word
+        columns = [word(long, k) for k in range(1, blocks + 1)]
+        order = np.lexsort([*columns[::-1], rank[long]])
+        new = np.zeros(len(long), bool)
+        for c in (rank[long], *columns):
+            new[1:] |= c[order][1:] != c[order][:-1]
+        among = np.empty(len(long), np.int64)
+        among[order] = np.cumsum(new) + 1
+        rank = rank << 32
+        rank[long] |= among
+        rank = _dense(rank)
+    return rank.astype(np.int32), int(rank.max()) + 1
 
 
 def _sorted(text: np.ndarray, n_keys: int, folder: str, budget: int) -> np.ndarray:
@@ -180,19 +257,17 @@ def _sorted(text: np.ndarray, n_keys: int, folder: str, budget: int) -> np.ndarr
 
     def everything(seeds: np.ndarray) -> np.ndarray:
         large = _induce(text, n_keys, seeds, ~small, n - 1, False, folder, budget)
-        turned = (n_keys - 1 - text.astype(np.int32)).astype(np.int32)
+        turned = n_keys - 1 - text.astype(np.int32)
         return _induce(turned, n_keys, large[::-1], small, None, True, folder, budget)[::-1]
 
     if len(lms) < 2:
         return everything(lms)
-    rough = everything(lms[np.argsort(text[lms], kind="stable")])
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = rough[is_lms[rough]]
-    del rough
-    named, kinds = _names(text, lms, order)
+    named, kinds = _names(text, n_keys, lms)
     if kinds < len(lms):
         order = lms[_sorted(named, kinds, folder, budget)]
+    else:
+        order = np.empty_like(lms)
+        order[named] = lms
     return everything(order)
 
 

@@ -7,7 +7,8 @@ One suffix array over all suffixes of a corpus costs many times its size in disk
 a match can be. Each window of LENGTH bytes picks the smallest of the hashes of its SEED-byte substrings (the last, if
 several are), its anchor: equal windows have their anchors at the same place. An anchor whose hash occurs once in the corpus
 has no window with a match. The others' surroundings, all windows they can be the anchor of, are segments; equal segments around the
-same anchor hash are counted, and one of them stands for all. Segments are dealt to shards by anchor hash, so
+same anchor hash are counted, and one of them stands for all; where an anchor hash has one kind of segment only, all its windows are
+in all copies, and there is nothing to sort. The other segments are dealt to shards by anchor hash, so
 windows that match meet in one shard. There the suffixes of all segments are sorted (see induced_sort), and neighbours with
 LENGTH bytes in common form runs. Two members of a run match if their anchor is at the same distance: then they are two
 places of the corpus, and not one place that lies in two segments. What is found goes back to all documents that have the segment.
@@ -32,8 +33,10 @@ from foliospark.llm.induced_sort import BUDGET, long_common, suffix_array
 from foliospark.llm.near_dedup import mix64
 
 LENGTH = 200
-SEED = 32
-SHARD_BYTES = 2 << 20
+SEED = 100
+#: Text of a shard, which should fit a core's cache, and of a task's shards together.
+SHARD_BYTES = 256 << 10
+TASK_BYTES = 8 << 20
 #: Windows that are looked at together; longer texts are handled piece by piece.
 PIECE = 1 << 18
 
@@ -104,9 +107,11 @@ def matched(segments: list[bytes], leads: np.ndarray, copies: np.ndarray, length
     joined = b"\0".join(segments) + b"\0"
     raw = np.frombuffer(joined, np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = raw.astype(np.int16) + 1
+    used = np.zeros(256, bool)
+    used[raw] = True
+    text = np.cumsum(used).astype(np.int16)[raw]  # symbols from 1 in the order of their bytes
     text[begin + sizes] = 0
-    order = suffix_array(text, 258, budget)
+    order = suffix_array(text, int(used.sum()) + 1, budget)
     del text
     owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)
     inside = (np.arange(len(raw)) - begin[owner]).astype(np.int32)
@@ -152,10 +157,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     shared = stored(flat.join(often, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
     kinds = stored(kinds.select("anchor", "segment", "copies", "one.*"), "segments")
-    shards = max(1, -(-kinds.count() * (2 * length - seed) // shard_bytes))
+    reach = length - seed
+    only = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("anchor")
+    alone = kinds.join(only, "anchor", "left_semi").select(
+        "anchor", "segment", F.array((-F.least("at", F.lit(reach))).cast("int")).alias("starts"), F.array(F.lit(length)).alias("ends")
+    )  # ends count as far as the document goes
+    kinds = stored(kinds.join(only, "anchor", "left_anti"), "kinds")
+    size = kinds.count() * (2 * length - seed)
+    shards, tasks = max(1, -(-size // shard_bytes)), max(1, -(-size // TASK_BYTES))
     asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies")).alias("asked"))
     asked = asked.hint("shuffle_hash")
-    reach = length - seed
 
     def cut_out(batches):
         for batch in batches:
@@ -170,7 +181,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
 
     named = rows.join(asked, (rows["text_hash"] == asked["_fs_hash"]) & rows["doc_id"].eqNullSafe(asked["_fs_doc"]))
     parts = named.select("text", "asked").mapInArrow(cut_out, "anchor bigint, segment bigint, copies bigint, lead int, bytes binary")
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
 
     def sort_shards(batches):
         def done(rows: list[tuple]):
@@ -199,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
             yield done(rows)
 
     found = stored(parts.mapInArrow(sort_shards, "anchor bigint, segment bigint, starts array<int>, ends array<int>"), "matches")
-    back = shared.join(found, ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
+    back = shared.join(found.unionByName(alone), ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
     span = F.struct((F.col("at") + F.col("starts")).alias("start"), (F.col("at") + F.col("ends")).alias("end"))
     return back.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans"))
 
@@ -217,7 +228,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_
             merged, kept = [], []
             for t, found in zip(texts, batch.column(2).to_pylist()):
                 spans: list[list[int]] = []
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
+                for s, e in sorted((x["start"], min(x["end"], len(t))) for x in found or ()):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], e)
                     else:
