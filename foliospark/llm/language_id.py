@@ -52,6 +52,8 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int =
     Symbols are the bytes met in training, numbered from 1; 0 stands for all others.
     """
     langs = sorted(texts)
+    if not langs:
+        return {"langs": []}
     used = np.zeros(256, bool)
     used[0x20] = True
     for group in texts.values():
@@ -182,7 +184,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     def score(batches):
         got = sent.value
         if "tables" not in got:  # a worker keeps the broadcast value between tasks
-            got["tables"] = flatten(got["model"])
+            got["tables"] = flatten(got["model"]) if got["model"]["langs"] else {"langs": []}
         tables = got["tables"]
         langs = tables["langs"]
         for batch in batches:
