@@ -127,12 +127,12 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def inserted(docs: DataFrame, new: DataFrame, key: str = "sha256") -> DataFrame:
-    """docs and those of new whose content is new; of equal contents in new the first by name; ids go on from the largest.
+    """docs and those of new whose content is new; of equal contents in new the first by name.
 
-    Ids are given by position within ordered ranges, so no task numbers all rows.
+    Ids are above all given ones, with gaps: each partition numbers its own rows.
     """
     fresh = new.join(docs.select(key), key, "left_anti")
-    fresh = fresh.groupBy(key).agg(F.min(F.struct(*[c for c in ("original_name", *new.columns) if c != key])).alias("r")).select(key, "r.*")
+    fresh = fresh.groupBy(key).agg(F.min(F.struct("original_name", *[c for c in new.columns if c not in (key, "original_name")])).alias("r")).select(key, "r.*")
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
     return docs.unionByName(numbered, allowMissingColumns=True)
