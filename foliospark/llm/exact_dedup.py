@@ -41,13 +41,12 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     # Misra-Gries: every digest with more than support * n rows is among at most 1/support candidates.
     frequent = rows.stat.freqItems(["text_sha256"], support)
     frequent = frequent.select(F.explode(frequent.columns[0]).alias("text_sha256"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    least = max(2.0, rows.count() * support)
     winners = (
         rows.join(F.broadcast(frequent), "text_sha256", "left_semi")
         .groupBy("text_sha256")
         .agg(*summary)
-        .join(F.broadcast(total), F.col("group_size") >= F.greatest(F.col("n") * support, F.lit(2)))
-        .drop("n")
+        .where(F.col("group_size") >= least)
     )
     winners = stored(winners, "winners")  # 1/support rows at most
     hot = _decided(rows, winners, True)

@@ -56,9 +56,11 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(named, F.coalesce("source", F.lit(""))).cast("double"), F.lit(0.0))
     counts = stored(counts.withColumn("weight", weight), "sources")
-    whole = counts.agg(F.sum("rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    rate = F.coalesce(F.try_divide(F.col("weight") * F.col("all_rows") * size, F.col("all_weight") * F.col("rows")), F.lit(0.0))
-    return counts.crossJoin(F.broadcast(whole)).select("source", "rows", rate.alias("rate"))  # one row joined to each
+    whole = counts.agg(F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).first()
+    rate = F.lit(0.0)
+    if whole["weight"]:
+        rate = F.col("weight") * whole["rows"] * size / (F.col("rows") * whole["weight"])
+    return counts.select("source", "rows", rate.alias("rate"))
 
 
 def replicate(
