@@ -9,8 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables from this size on are dealt to all cores if their files are fewer.
+SPREAD_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose few row groups would keep most cores idle is spread over them.
+
+    Tables of many files, the rule at scale, stay as they are. Filters and column choice pass the repartitioning.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or plan.toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
