@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -39,6 +40,10 @@ def shared_root(spark: SparkSession) -> str:
     return own
 
 
+#: Open lists that take down the tables stored meanwhile, innermost last.
+_RECORDS: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there.
 
@@ -47,9 +52,69 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recording(paths: list[str]):
+    """Tables stored inside are added to paths, so that drop_tables can remove them when what was made of them is written."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], needed_by: DataFrame | None = None) -> None:
+    """Removes stored tables, apart from those that needed_by reads; paths then names what is left."""
+    used = ""
+    if needed_by is not None:
+        leaves = needed_by._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            leaf = leaves.apply(k)
+            if leaf.getClass().getSimpleName() == "LogicalRelation":
+                used += leaf.relation().location().rootPaths().mkString(" ") + " "
+    left = []
+    for path in paths:
+        if path.rsplit("/", 1)[-1] in used:
+            left.append(path)
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths[:] = left
+
+
+#: Rows of an Arrow batch that are unpacked into Python objects together.
+SLICE_ROWS = 512
+
+
+def thrifty(function):
+    """An Arrow batch function that gets its batches in slices, and whose task gives its memory back at the end.
+
+    Python workers live on between tasks; what their allocators keep would count against the executor.
+    """
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        try:
+            yield from function(b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS))
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of ASCII alone take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
