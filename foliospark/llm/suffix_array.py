@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import drop_tables, recording, stored
 from foliospark.llm.induced_sort import BUDGET, long_common, suffix_array
 from foliospark.llm.near_dedup import mix64
 
@@ -152,9 +152,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
     table = rows.mapInArrow(find, "doc_id bigint, text_hash bigint, at array<int>, anchor array<bigint>, segment array<bigint>")
-    flat = stored(table, "anchors").select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "anchor", "segment")))
-    often = flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = stored(flat.join(often, "anchor"), "shared")
+    passing: list[str] = []
+    with recording(passing):
+        flat = stored(table, "anchors").select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "anchor", "segment")))
+        often = stored(flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
+    shared = stored(flat.join(often.hint("shuffle_hash"), "anchor"), "shared")
+    drop_tables(docs.sparkSession, passing)  # most anchors are not shared
     kinds = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
     kinds = stored(kinds.select("anchor", "segment", "copies", "one.*"), "segments")
     reach = length - seed
@@ -210,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
             yield done(rows)
 
     found = stored(parts.mapInArrow(sort_shards, "anchor bigint, segment bigint, starts array<int>, ends array<int>"), "matches")
-    back = shared.join(found.unionByName(alone), ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
+    back = shared.join(found.unionByName(alone).hint("shuffle_hash"), ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
     span = F.struct((F.col("at") + F.col("starts")).alias("start"), (F.col("at") + F.col("ends")).alias("end"))
     return back.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans"))
 
