@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, stored
+from foliospark.llm.common import WORD_BYTES, stored, thrifty
 
 RUN = 3
 MIN_WORDS = 12
@@ -87,11 +87,12 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "text_hash", "at", "h", "g"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
-    table = stored(rows.mapInArrow(cut, schema), "runs")
+    table = stored(rows.mapInArrow(thrifty(cut), schema), "runs")
     flat = table.select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "h", "g")))
-    often = flat.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
-    shared = stored(flat.join(often, ["h", "g"]), "shared")
-    first = shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"))
+    # stored, so that the join deals both sides anew and Spark can split hot runs
+    often = stored(flat.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "often")
+    shared = stored(flat.join(often.hint("shuffle_hash"), ["h", "g"]), "shared")
+    first = stored(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first")), "first")
     later = shared.join(first, ["h", "g"]).where(
         ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.at") == F.col("at")))
     )
@@ -129,7 +130,7 @@ def drop_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) ->
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_sentences", "n_removed"])
 
     kinds = [f"{n} {plain.schema[n].dataType.simpleString()}" for n in names]
-    out = joined.select(*names, "_fs_at").mapInArrow(cut, ", ".join([*kinds, "n_sentences bigint", "n_removed bigint"]))
+    out = joined.select(*names, "_fs_at").mapInArrow(thrifty(cut), ", ".join([*kinds, "n_sentences bigint", "n_removed bigint"]))
     own = [(n, c) for n, c in zip(names, docs.columns) if c not in ("n_sentences", "n_removed")]
     return out.select(*[F.col(n).alias(c) for n, c in own], "n_sentences", "n_removed")
 
