@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, stored
+from foliospark.llm.common import WORD_BYTES, stored, thrifty
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -99,7 +99,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             row = _index_shard(ids, texts)
             yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-    shards = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(index, INDEX_SCHEMA)
+    shards = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(thrifty(index), INDEX_SCHEMA)
     return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
@@ -203,7 +203,7 @@ def matches(index: DataFrame, phrases: dict[tuple, set], slop: int = 0) -> DataF
                     names=["shard", "row", "doc_id", "n_words", "starts", "ends", "items"],
                 )
 
-    return index.mapInArrow(ask, HIT_SCHEMA)
+    return index.mapInArrow(thrifty(ask), HIT_SCHEMA)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):

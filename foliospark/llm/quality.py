@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import thrifty
+
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
 DICT_BYTES = 64 << 10
@@ -119,7 +121,7 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(m["slope"] * x + m["offset"], -700, 700))) if pair else np.full(len(texts), m["share"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(p)], names=["doc_id", "feature", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id bigint, feature double, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(thrifty(score), "doc_id bigint, feature double, score double")
 
 
 def held_out() -> Column:
