@@ -164,6 +164,7 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
             ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&amp;", "&")]
 
 
+# Fixed values below: the patterns for markup that goes with its content, for line ends and for tags.
 def strip_html(source: Column) -> Column:
     """Markup dropped: scripts, styles and head with their content, block ends as newlines, other tags as blanks."""
     out = F.regexp_replace(source, r"(?is)<(script|style|head)\b.*?</\1>", " ")
@@ -229,12 +230,12 @@ def german_number(value: Column) -> Column:
     return F.translate(F.format_number(value, 2), ",.", ".,")
 
 
-def export_note(notes: Column, amount: Column, iban: Column, number: Column, original_name: Column) -> Column:
-    """The note that goes with an exported document, a line per thing that is known."""
+def export_note(notes: Column, amount: Column, iban: Column, number: Column, original_name: Column, origin: str = "dem Dokumentenarchiv") -> Column:
+    """The note that goes with an exported document, a line per thing that is known; origin: where it came from, in the dative."""
     lines = (
         F.nullif(notes, F.lit("")),
         F.concat(F.lit("Betrag: "), german_number(amount), F.lit(" €")),
         F.concat(F.lit("IBAN: "), F.nullif(iban, F.lit(""))),
-        F.concat(F.lit("Übernommen aus der Dokumentenverwaltung (Nr. "), number.cast("string"), F.lit(", "), original_name, F.lit(")")),
+        F.concat(F.lit(f"Übernommen aus {origin} (Nr. "), number.cast("string"), F.lit(", "), original_name, F.lit(")")),
     )
     return F.concat_ws("\n", *lines)

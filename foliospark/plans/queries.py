@@ -617,7 +617,7 @@ def storage_template(spark, sf):
     return paths.select(T.storage_template(F.col("path")).alias("new"), T.storage_template(F.col("path"), False).alias("old"))
 
 
-_NOTE = "CASE WHEN notes <> '' THEN notes || chr(10) ELSE '' END || 'Betrag: ' || translate(format('{:,.2f}', amount), ',.', '.,') || ' €' || chr(10) || CASE WHEN iban IS NOT NULL THEN 'IBAN: ' || iban || chr(10) ELSE '' END || 'Übernommen aus der Dokumentenverwaltung (Nr. ' || id || ', ' || original_name || ')'"
+_NOTE = "CASE WHEN notes <> '' THEN notes || chr(10) ELSE '' END || 'Betrag: ' || translate(format('{:,.2f}', amount), ',.', '.,') || ' €' || chr(10) || CASE WHEN iban IS NOT NULL THEN 'IBAN: ' || iban || chr(10) ELSE '' END || 'Übernommen aus dem Dokumentenarchiv (Nr. ' || id || ', ' || original_name || ')'"
 
 
 @query(f"WITH {B.CATALOG} SELECT id, {_NOTE} AS note FROM cat")

@@ -62,7 +62,7 @@ def test_export_texts(spark):
     assert one(spark, "Wohnen / Energie", T.storage_template) == "Wohnen/Energie/{{ created_year }}-{{ created_month }}-{{ created_day }}_{{ title }}"
     assert one(spark, "A", lambda c: T.storage_template(c, False)) == "A/{created_year}-{created_month}-{created_day}_{title}"
     note = one(spark, "x.pdf", lambda c: T.export_note(F.lit("n"), F.lit(1234.56), F.lit(None).cast("string"), F.lit(3), c))
-    assert note == "n\nBetrag: 1.234,56 €\nÜbernommen aus der Dokumentenverwaltung (Nr. 3, x.pdf)".replace("Dokumentenverwaltung", "Dokumentenverwaltung")
+    assert note == "n\nBetrag: 1.234,56 €\nÜbernommen aus dem Dokumentenarchiv (Nr. 3, x.pdf)"
 
 
 def test_prefix_terms():
