@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LETTERS
+from foliospark.llm.common import LETTERS, thrifty
 
 ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2_000_000
 MAX_CONTEXTS = 60_000
 #: Bytes of the cost table; fewer contexts are kept where there are many languages.
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 48 << 20
 TEMPER = 1.0
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 UNKNOWN = "und"
 
 
@@ -101,7 +101,7 @@ def flatten(model: dict) -> dict:
         for k in range(order + 1):
             ctx = model["kept"][k]
             if k == 0:
-                base = np.full((1, size), 8.0)
+                base = np.full((1, size), 8.0, np.float32)
             else:
                 up = np.searchsorted(model["kept"][k - 1], ctx % size ** (k - 1))
                 base = lower[up]
@@ -109,23 +109,17 @@ def flatten(model: dict) -> dict:
             at = np.searchsorted(ctx, codes // size)
             at[at == len(ctx)] = 0
             ok = ctx[at] == codes // size if len(ctx) else np.zeros(len(codes), bool)
-            table = np.zeros((len(ctx), size))
-            table[at[ok], codes[ok] % size] = n[ok]
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+            at, symbol, n = at[ok], codes[ok] % size, n[ok]
+            total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
             with np.errstate(divide="ignore", invalid="ignore"):
-                seen = np.log2((total + kinds) / table)
-                escape = np.log2((total + kinds) / kinds)
-            lower = np.where(table > 0, seen, base + np.where(total > 0, escape, 0.0))
+                escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
+            lower = (base + escape[:, None]).astype(np.float32)
+            lower[at, symbol] = np.log2((total + kinds)[at] / n)
             bits[first[k] : first[k + 1], :, l] = lower
     number = np.zeros(size**order, np.int32)
-    codes = np.arange(size**order)
-    for k in range(1, order + 1):
-        if len(model["kept"][k]):
-            tail = codes % size**k
-            at = np.searchsorted(model["kept"][k], tail)
-            at[at == len(model["kept"][k])] = 0
-            ok = model["kept"][k][at] == tail
-            number[ok] = (first[k] + at[ok]).astype(np.int32)
+    for k in range(1, order + 1):  # longer contexts overwrite the shorter ones that they end in
+        whole = number.reshape(-1, size**k)
+        whole[:, model["kept"][k]] = (first[k] + np.arange(len(model["kept"][k]))).astype(np.int32)
     return {"number": number, "bits": bits.reshape(-1, len(langs)), "symbol": model["symbol"].astype(np.int32), "size": size, "order": order, "langs": langs}
 
 
@@ -210,7 +204,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
             )
 
     kinds = [f"{n} {plain.schema[n].dataType.simpleString()}" for n in names]
-    out = plain.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double", "bits_per_byte double"]))
+    out = plain.mapInArrow(thrifty(score), ", ".join([*kinds, "lang_pred string", "score double", "bits_per_byte double"]))
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "bits_per_byte")
 
 

@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, stored
+from foliospark.llm.common import WORD_BYTES, stored, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 M = BANDS * ROWS
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Members in a block, and slices of the distance to a leader.
 BLOCK, SLICES = 64, 20
+#: Pairs whose shingles are in memory together.
+PAIRS = 256
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -217,7 +219,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return stored(rows.mapInArrow(sign, schema), "signatures")
+    return stored(rows.mapInArrow(thrifty(sign), schema), "signatures")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,17 +254,19 @@ def _with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(batches):
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (0, 1))
-            ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            fresh = {**dict(zip(a, ta)), **dict(zip(b, tb))}
-            bag = dict(zip(fresh, _bags(list(fresh.values()))))
-            found = [similarity(bag[x], bag[y]) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["node", "leader", "sim"])
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                a, b = (part.column(k).to_pylist() for k in (0, 1))
+                ta, tb = (part.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+                fresh = {**dict(zip(a, ta)), **dict(zip(b, tb))}
+                bag = dict(zip(fresh, _bags(list(fresh.values()))))
+                found = [similarity(bag[x], bag[y]) for x, y in zip(a, b)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["node", "leader", "sim"])
 
     own = texts.select("node", F.col("text").alias("own_text"))
     other = texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
     rows = pairs.join(own, "node").join(other, "leader").select("node", "leader", "own_text", "leader_text")
-    return rows.mapInArrow(verify, "node bigint, leader bigint, sim double")
+    return rows.mapInArrow(thrifty(verify), "node bigint, leader bigint, sim double")
 
 
 def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -296,12 +300,13 @@ def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
         bag: dict = {}
         for batch in batches:
             a, b = [], []
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # a row holds the texts of two blocks, so one is unpacked at a time
+                row = batch.slice(at, 1).to_pylist()[0]
                 band, texts = row["band"], {}
                 for side in "lr":
                     texts |= dict(zip(row[f"{side}_nodes"], row[f"{side}_texts"]))
                 new = [n for n in texts if n not in bag]
-                if len(bag) > 20 * BLOCK:
+                if len(bag) > 4 * BLOCK:
                     bag, new = {}, list(texts)
                 bag |= dict(zip(new, _bags([texts[n].encode() for n in new])))
                 ours, theirs = (np.array(row[f"{side}_bands"], np.int64) for side in "lr")
@@ -315,7 +320,7 @@ def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     columns = ["band", *[f"{side}_{c}" for side in "lr" for c in ("nodes", "comps", "bands", "texts")]]
-    return met.select(*columns).mapInArrow(verify, "a bigint, b bigint")
+    return met.select(*columns).mapInArrow(thrifty(verify), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
