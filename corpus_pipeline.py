@@ -2,15 +2,20 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() applies
 them to the documents, each stage's rows written as Parquet and read again as the next one's docs, so a
-lost executor costs no more than the stage it was in.
+lost executor costs no more than the stage it was in. As a stage begins, the tables that the operators of earlier stages
+stored on the way are removed, unless the docs given still read them: a stage's result is to be written
+before the next stage begins.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import drop_tables, recording, stored
 from foliospark.llm.decontamination import drop_leaks
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.language_id import UNKNOWN, identify, trained
@@ -18,25 +23,44 @@ from foliospark.llm.mixing import replicate
 from foliospark.llm.near_dedup import near_dedup
 
 
+#: Tables that the operators of the stages have stored and that are still there.
+_TABLES: list[str] = []
+
+
+def stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @functools.wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _TABLES, needed_by=docs)
+        with recording(_TABLES):
+            return f(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, to which no language can be given, go. The model learns as in op7."""
     columns = docs.columns
     return identify(docs, trained(docs), keep=columns).where(F.col("lang_pred") != UNKNOWN).select(*columns)
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup(docs)
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return replicate(docs)
 
@@ -52,10 +76,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    between: list[str] = []
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
+            before, between = between, []
+            with recording(between):
+                docs = stored(docs, f"stage{k}")
+            drop_tables(spark, before, needed_by=docs)
     return docs
 
 
