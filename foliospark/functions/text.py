@@ -69,10 +69,14 @@ def norm_py(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(StringType())
-def norm_exact(text: pd.Series) -> pd.Series:
+def norm_exact(text: Column) -> Column:
     """norm with all of Unicode (ligatures, full-width letters, ...); Arrow batches."""
-    return text.map(norm_py, na_action="ignore")
+
+    @F.pandas_udf(StringType())
+    def exact(texts: pd.Series) -> pd.Series:
+        return texts.map(norm_py, na_action="ignore")
+
+    return exact(text)
 
 
 def words(text: Column) -> Column:
@@ -180,9 +184,14 @@ def html_to_text(source: Column) -> Column:
     return out
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def unescape(text: Column) -> Column:
+    """All HTML entities as their characters; Arrow batches."""
+
+    @F.pandas_udf(StringType())
+    def chars(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return chars(text)
 
 
 def html_to_text_exact(source: Column) -> Column:
