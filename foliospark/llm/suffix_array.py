@@ -13,8 +13,9 @@ windows that match meet in one shard. There the suffixes of all segments are sor
 LENGTH bytes in common form runs. Two members of a run match if their anchor is at the same distance: then they are two
 places of the corpus, and not one place that lies in two segments. What is found goes back to all documents that have the segment.
 
-Memory: a shard has about SHARD_BYTES. An anchor hash with more segments makes its shard larger; the queues of the sorting
-go to disk beyond their budget.
+Memory: a shard has about SHARD_BYTES, and its text, order and owners are held in memory; the queues of the sorting go to disk
+beyond their budget. An anchor hash whose kinds of segment have more than HOT_BYTES is not sorted but divided exactly: its windows are
+dealt by (anchor, distance to the anchor, 128-bit hash of the window), so equal windows still meet, and no task gets all of an anchor.
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows are documents of their own, so each loses what it
 shares with the other; documents are told apart by (doc_id, hash of text); a null doc_id is allowed; empty tables give no rows;
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import drop_tables, recording, stored
+from foliospark.llm.common import drop_tables, recording, stored, thrifty
 from foliospark.llm.induced_sort import BUDGET, long_common, suffix_array
 from foliospark.llm.near_dedup import mix64
 
@@ -37,6 +38,8 @@ SEED = 100
 #: Text of a shard, which should fit a core's cache, and of a task's shards together.
 SHARD_BYTES = 256 << 10
 TASK_BYTES = 8 << 20
+#: Segments of one anchor that are sorted together; more are dealt window by window.
+HOT_BYTES = 1 << 20
 #: Windows that are looked at together; longer texts are handled piece by piece.
 PIECE = 1 << 18
 
@@ -138,7 +141,38 @@ def matched(segments: list[bytes], leads: np.ndarray, copies: np.ndarray, length
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def hot_matches(parts: DataFrame, length: int) -> DataFrame:
+    """anchor, segment, starts, ends of the repeated windows, by their hashes instead of a sort; starts and ends count from the anchor."""
+
+    def windows(batches):
+        import xxhash
+
+        for batch in batches:
+            anchor, segment, copies, lead, text = (batch.column(k).to_pylist() for k in range(5))
+            n = [max(0, min(l, len(t) - length) + 1) for l, t in zip(lead, text)]
+            which = np.repeat(np.arange(len(n)), n)
+            distance = [l - i for l, k in zip(lead, n) for i in range(k)]
+            digest = [xxhash.xxh3_128_digest(t[i : i + length]) for t, k in zip(text, n) for i in range(k)]
+            cols = [pa.array(np.array(c, np.int64)[which]) for c in (anchor, segment, copies)]
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array(distance, pa.int32()), pa.array(digest, pa.binary())], names=["anchor", "segment", "copies", "distance", "digest"]
+            )
+
+    table = parts.select("anchor", "segment", "copies", "lead", "bytes").mapInArrow(thrifty(windows), "anchor bigint, segment bigint, copies bigint, distance int, digest binary")
+    table, keys = stored(table, "windows"), ["anchor", "distance", "digest"]
+    # stored, so that Spark can split a passage that many segments have
+    twice = stored(table.groupBy(*keys).agg(F.sum("copies").alias("n")).where("n > 1").select(*keys), "twice")
+    # all windows of a segment hold its anchor, so they overlap and make one span
+    return (
+        table.join(twice.hint("shuffle_hash"), keys)
+        .groupBy("anchor", "segment")
+        .agg(F.array((-F.max("distance")).cast("int")).alias("starts"), F.array((F.lit(length) - F.min("distance")).cast("int")).alias("ends"))
+    )
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET
+) -> DataFrame:
     """doc_id, text_hash, spans (array of start, end in bytes, unmerged) of the documents that have any."""
 
     def find(batches):
@@ -161,34 +195,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     kinds = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
     kinds = stored(kinds.select("anchor", "segment", "copies", "one.*"), "segments")
     reach = length - seed
-    only = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("anchor")
-    alone = kinds.join(only, "anchor", "left_semi").select(
+    # stored, so that Spark can split hot anchors
+    counts = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "counts")
+    most = max(1, hot_bytes // (2 * length - seed))
+    several, n_hot = counts.where("kinds > 1").agg(F.sum("kinds"), F.sum(F.when(F.col("kinds") > most, F.col("kinds")))).first()
+    kinds = stored(kinds.join(counts.hint("shuffle_hash"), "anchor").withColumn("hot", F.col("kinds") > most), "kinds")
+    alone = kinds.where("kinds = 1").select(
         "anchor", "segment", F.array((-F.least("at", F.lit(reach))).cast("int")).alias("starts"), F.array(F.lit(length)).alias("ends")
     )  # ends count as far as the document goes
-    kinds = stored(kinds.join(only, "anchor", "left_anti"), "kinds")
-    size = kinds.count() * (2 * length - seed)
+    kinds = kinds.where("kinds > 1")
+    size = ((several or 0) - (n_hot or 0)) * (2 * length - seed)
     shards, tasks = max(1, -(-size // shard_bytes)), max(1, -(-size // TASK_BYTES))
-    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies")).alias("asked"))
+    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies", "hot")).alias("asked"))
     asked = asked.hint("shuffle_hash")
 
     def cut_out(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for t, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for w in wanted:
                     s = max(0, w["at"] - reach)
-                    for col, v in zip(out, (w["anchor"], w["segment"], w["copies"], w["at"] - s, t[s : w["at"] + length])):
+                    for col, v in zip(out, (w["anchor"], w["segment"], w["copies"], w["at"] - s, t[s : w["at"] + length], w["hot"])):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "copies", "lead", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "copies", "lead", "bytes", "hot"])
 
     named = rows.join(asked, (rows["text_hash"] == asked["_fs_hash"]) & rows["doc_id"].eqNullSafe(asked["_fs_doc"]))
-    parts = named.select("text", "asked").mapInArrow(cut_out, "anchor bigint, segment bigint, copies bigint, lead int, bytes binary")
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
+    parts = named.select("text", "asked").mapInArrow(cut_out, "anchor bigint, segment bigint, copies bigint, lead int, bytes binary, hot boolean")
+    if n_hot:
+        parts = stored(parts, "parts")
+        alone = alone.unionByName(hot_matches(parts.where("hot"), length))
+        parts = parts.where("NOT hot")
+    parts = parts.drop("hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
 
     def sort_shards(batches):
         def done(rows: list[tuple]):
-            spans = matched([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), length)
+            spans = matched([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), length, budget)
             keep = [(r, s) for r, s in zip(rows, spans) if s[0]]
             lead = [r[3] for r, _ in keep]
             return pa.RecordBatch.from_arrays(
@@ -218,9 +260,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shar
     return back.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (merged, what was removed) and kept (the other bytes)."""
-    spans = repeated_spans(docs, length, seed, shard_bytes)
+    spans = repeated_spans(docs, length, seed, shard_bytes, hot_bytes, budget)
     spans = spans.select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"), "spans").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     joined = rows.join(spans, (rows["text_hash"] == spans["_fs_hash"]) & rows["doc_id"].eqNullSafe(spans["_fs_doc"]), "left")

@@ -281,6 +281,24 @@ def test_repeats_match_brute_force(spark, length, seed):
     assert got == want
 
 
+def test_repeats_of_hot_anchors_match_brute_force(spark):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    common = noise(26)  # one passage in many surroundings: many kinds of segment at its anchors
+    rows = [(i, noise(rng.randrange(40)) + common[: rng.choice([19, 23, 26])] + noise(rng.randrange(40))) for i in range(150)]
+    rows += [(200, common * 3), (201, rows[5][1]), (202, None), (203, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([r[1] for r in rows], 20)))
+    # most kinds at an anchor: divided, and sorted in one shard with queues beyond their budget
+    for hot_bytes, divided in ((640, True), (1 << 20, False)):
+        paths: list[str] = []
+        with recording(paths):
+            out = suffix_array.drop_repeats(docs, 20, 8, 1 << 20, hot_bytes, 1 << 10)
+            got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out.collect())
+        assert got == want
+        assert any("/windows-" in p for p in paths) == divided
+
+
 def test_repeats_awkward_rows(docs, empty):
     got = suffix_array.drop_repeats(docs).collect()
     assert len(got) == len(ROWS)
