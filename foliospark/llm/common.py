@@ -115,6 +115,18 @@ def thrifty(function):
     return run
 
 
+def spread(text: bytes, n_bytes: int, piece: int = 1024) -> list[bytes]:
+    """At most n_bytes of the text in pieces from all over it, by the hash of their number; the whole text if it fits."""
+    if len(text) <= n_bytes:
+        return [text]
+    import xxhash
+
+    piece = max(1, min(piece, n_bytes))
+    count = -(-len(text) // piece)
+    few = sorted(range(count), key=lambda k: xxhash.xxh64_intdigest(k.to_bytes(8, "little")))[: n_bytes // piece]
+    return [text[k * piece : (k + 1) * piece] for k in sorted(few)]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of ASCII alone take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

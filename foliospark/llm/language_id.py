@@ -11,7 +11,8 @@ gets a row with the cost of every symbol under every language, and a table over
 the text to its longest known context. Scoring a text is then two lookups per byte, exact in every escape.
 
 Bounds (parameters): training takes at most SAMPLE_DOCS documents and SAMPLE_BYTES bytes per language, those with the
-smallest hash of doc_id; the MAX_CONTEXTS most frequent contexts are kept, so broadcast and tables are
+smallest hash of doc_id, leaving out those that no longer fit (where no text of a language fits, pieces from all over
+one of them are taken); the MAX_CONTEXTS most frequent contexts are kept, so broadcast and tables are
 bounded whatever the corpus. Prediction reads whole texts.
 
 The score is the probability of the language by the code lengths, tempered by the text's length:
@@ -24,12 +25,14 @@ that sorts first; repeated rows are judged each; further columns play no part.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LETTERS, thrifty
+from foliospark.llm.common import LETTERS, spread, thrifty
 
 ORDER = 3
 SAMPLE_DOCS = 400
@@ -148,18 +151,26 @@ def _sample(docs: DataFrame, n_docs: int, n_bytes: int) -> dict[str, list[bytes]
     """lang to texts of its training sample, bounded per language by documents and bytes."""
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    by = Window.partitionBy("lang").orderBy("h")
-    few = docs.select("lang", h.alias("h"), F.octet_length("text").alias("n")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= n_docs)
-    few = few.withColumn("sum", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= n_bytes) | (F.col("k") == 1))
-    last = {r["lang"]: r["h"] for r in few.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    keyed = docs.select("lang", "text", h.alias("h"), F.octet_length("text").alias("n"))
+    # texts over the bound last: they are asked only where a language has no other
+    by = Window.partitionBy("lang").orderBy(F.col("n") > n_bytes, "h", "n")
+    few = keyed.select("lang", "h", "n").withColumn("k", F.row_number().over(by)).where(F.col("k") <= n_docs)
+    room: dict[str, int] = {}
+    chosen: Counter = Counter()
+    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["k"])):
+        left = room.setdefault(r["lang"], n_bytes)
+        if r["n"] <= left or r["k"] == 1:
+            room[r["lang"]] = max(0, left - r["n"])
+            chosen[r["lang"], r["h"], r["n"]] += 1
     out: dict[str, list[bytes]] = {}
-    if not last:
+    if not chosen:
         return out
-    limit = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])
-    for r in docs.select("lang", "text", h.alias("h")).where(F.col("h") <= F.try_element_at(limit, F.col("lang"))).toLocalIterator():
-        group = out.setdefault(r["lang"], [])
-        if len(group) < n_docs:  # equal hashes could bring one more
-            group.append(r["text"].encode())
+    asked = docs.sparkSession.createDataFrame(list(chosen), "lang string, h long, n int")
+    for r in keyed.join(F.broadcast(asked), ["lang", "h", "n"], "left_semi").toLocalIterator():
+        key = r["lang"], r["h"], r["n"]
+        if chosen[key]:  # equal hashes could bring more
+            chosen[key] -= 1
+            out.setdefault(r["lang"], []).extend(spread(r["text"].encode(), n_bytes))
     return out
 
 

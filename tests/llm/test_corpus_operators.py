@@ -389,6 +389,17 @@ def test_language_id_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.98 and out.score.between(0, 1).all()
 
 
+def test_language_sample_skips_texts_that_do_not_fit(spark):
+    rows = [(i, ("long " * 1000 if i % 2 else "short text") + f" {i:04}", "en") for i in range(60)]
+    rows += [(100, "a" * 3000 + "b" * 3000, "xx")]  # no text of this language fits
+    sample = language_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 1000)
+    assert len(sample["en"]) == 20 and all(t.startswith(b"short") for t in sample["en"])
+    assert 0 < sum(map(len, sample["xx"])) <= 1000
+    assert language_id.spread(b"x" * 10, 10) == [b"x" * 10]
+    pieces = language_id.spread(bytes(range(250)) * 40, 3000, 100)
+    assert sum(map(len, pieces)) <= 3000 and all(p in bytes(range(250)) * 40 for p in pieces)
+
+
 def test_language_id_awkward_rows(docs, empty):
     model = language_id.fit(docs)
     got = {(r.doc_id, r.lang_pred) for r in language_id.identify(docs, model).collect()}
