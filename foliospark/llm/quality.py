@@ -7,7 +7,7 @@ by piece, PIECE bytes each, every piece with the dictionary anew, and sizes add
 A logistic curve, fitted on labelled texts that trained no dictionary, turns the feature into a probability.
 
 Bounds (parameters): at most SAMPLE_DOCS texts per class are used, those with the smallest hash of doc_id, of
-each at most SAMPLE_BYTES bytes for a dictionary; half of them train dictionaries, half the curve.
+each at most SAMPLE_BYTES bytes, in pieces from all over the text, for a dictionary; half of them train dictionaries, half the curve.
 
 Defined cases: null and empty texts have feature 0 and get the curve's value there; a doc_id with several
 labels counts with each; null labels don't count; if a class has too few texts to train a dictionary its texts become
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import thrifty
+from foliospark.llm.common import spread, thrifty
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> dict:
     good, bad = ([t for _, t in sorted(got[q])] for q in (1, 0))
     if not good or not bad:
         return {"share": len(good) / (len(good) + len(bad)) if good or bad else 0.5}
-    cut = lambda texts: [t[:SAMPLE_BYTES] for t in texts[::2]]
+    cut = lambda texts: [p for t in texts[::2] for p in spread(t, SAMPLE_BYTES, PIECE)]
     model = {"good": make_dictionary(cut(good)), "bad": make_dictionary(cut(bad))}
     g, b = compressors(model["good"], model["bad"])
     rest = [(good[1::2] or good), (bad[1::2] or bad)]

@@ -506,6 +506,17 @@ def test_quality_held_out(spark):
     assert auc > 0.95 and (out.predicted == (out.score >= 0.3)).all()
 
 
+def test_quality_learns_from_the_later_part_of_long_texts(spark):
+    rng = random.Random(3)
+    same = " ".join(f"wort{rng.randrange(10**6)}" for _ in range(2500))  # over SAMPLE_BYTES
+    said = {q: [" ".join(f"{w}{rng.randrange(300)}" for _ in range(3000)) for _ in range(8)] for q, w in ((1, "wahrheit"), (0, "kaufen"))}
+    rows = [(8 * q + i, same + " " + t) for q in said for i, t in enumerate(said[q])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(8 * q + i, q) for q in said for i in range(8)], "doc_id long, quality int"))
+    good, bad = quality.features([said[1][0].encode(), said[0][0].encode()], *quality.compressors(model["good"], model["bad"]))
+    assert good > 0.02 and bad < -0.02
+
+
 def test_quality_awkward_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (6, 1, 1), (7, None, 0), (99, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
