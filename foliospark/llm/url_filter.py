@@ -9,7 +9,7 @@ constants of the expression. One cascade holds the blocked keys, one the allowed
 leaves the url allowed.
 
 Sizes: a listed set may have MAX_KEYS keys (about 2 MB of bits per level); more raise an error, as
-constants beyond that don't belong into a plan. What deeper levels hold shrinks by the error rate.
+constants beyond that don't belong into a plan. So do rule paths of more than MAX_LENGTHS lengths. What deeper levels hold shrinks by the error rate.
 
 Defined cases: a null url or one without '://' has empty host and path, no rule, and is allowed; ties
 of length go to block; repeated rows are judged each; an empty table or rule list is fine.
@@ -31,6 +31,8 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 MAX_KEYS = 1_000_000
+#: Lengths that rule paths may have; each costs a look-up per URL.
+MAX_LENGTHS = 10_000
 BITS_PER_KEY = 12
 HASHES = 4
 #: More levels mean broken hashing: at this error rate a universe of 2**60 keys needs fewer.
@@ -119,7 +121,9 @@ class Cascade:
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages with host, path, rule and verdict. rules: verdict (block or allow), host, path."""
     keyed = rules.select("verdict", F.concat("host", "path").alias("key"), F.length("path").alias("n"))
-    lengths = sorted(r["n"] for r in keyed.select("n").where("n IS NOT NULL").distinct().limit(10_000).collect())
+    lengths = sorted(r["n"] for r in keyed.select("n").where("n IS NOT NULL").distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"rule paths have over {MAX_LENGTHS} lengths")
     parts = with_parts(pages)
     universe = parts.select(candidate_keys(lengths).alias("keys"))
     block = Cascade(keyed.where("verdict = 'block'"), universe)

@@ -351,6 +351,15 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_too_many_lengths_raise(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LENGTHS", 2, raising=False)
+    pages = spark.createDataFrame([(1, "http://a.de/b")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "a.de", "/" + "b" * k) for k in range(3)], "verdict string, host string, path string")
+    with pytest.raises(ValueError, match="lengths"):
+        url_filter.filter_urls(pages, rules)
+    assert url_filter.filter_urls(pages, rules.limit(2)).count() == 1
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, so several levels
     listed = spark.range(0, 300).selectExpr("concat('k', id) AS key")
