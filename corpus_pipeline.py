@@ -18,11 +18,16 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import drop_tables, recording, stored
 from foliospark.llm.decontamination import drop_leaks
 from foliospark.llm.exact_dedup import exact_dedup
-from foliospark.llm.language_id import UNKNOWN, identify, trained
+from foliospark.llm.language_id import UNKNOWN, held_out, identify, trained
 from foliospark.llm.mixing import replicate
 from foliospark.llm.near_dedup import near_dedup
 
 
+#: A text goes if its bits per byte are over MARGIN times the QUANTILE of labelled texts that trained nothing, of which LEAST are needed.
+QUANTILE = 0.999
+MARGIN = 1.5
+LEAST = 100
+
 #: Tables that the operators of the stages have stored and that are still there.
 _TABLES: list[str] = []
 
@@ -37,11 +42,27 @@ def stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return begun
 
 
+def bits_bound(docs: DataFrame, model: dict) -> float | None:
+    """Bits per byte beyond which a text is in none of the learned languages; None with too few labelled texts to tell."""
+    labelled = docs.where(held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rates = identify(labelled, model, keep=[]).where(F.col("lang_pred") != UNKNOWN)
+    n, rate = rates.agg(F.count(F.lit(1)), F.percentile_approx("bits_per_byte", QUANTILE)).first()
+    return MARGIN * rate if n >= LEAST else None
+
+
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, to which no language can be given, go. The model learns as in op7."""
+    """Documents without any letter go, and those that no learned language explains. The model learns as in op7.
+
+    Where no row has a lang nothing is learned, and all documents with a letter stay.
+    """
     columns = docs.columns
-    return identify(docs, trained(docs), keep=columns).where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    model = trained(docs)
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = identify(docs, model, keep=columns).where(F.col("lang_pred") != UNKNOWN)
+    bound = bits_bound(docs, model)
+    return (out if bound is None else out.where(F.col("bits_per_byte") <= bound)).select(*columns)
 
 
 @stage

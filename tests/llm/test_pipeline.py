@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +39,15 @@ def test_stages_take_awkward_rows(spark):
             docs = p.stored(out, f"odd{k}")
             assert docs.columns[: len(schema.split(","))] == [c.split()[0] for c in schema.split(", ")]
         assert Counter(r.doc_id for r in docs.collect()).keys() <= {3}
+
+
+def test_language_stage_rejects_noise_and_keeps_unlabelled_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    rows = [(-1 - i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)), None) for i in range(5)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    lettered = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    kept = {r.doc_id for r in p.language_id(spark, more, SF).collect()}
+    assert not {r[0] for r in rows} & kept and len(lettered - kept) <= 0.001 * len(lettered)
+    bare = spark.createDataFrame([(1, "Ein Satz", None), (2, "!!!", None), (3, None, None), (4, "\u0661 \u00e9", None)], docs.schema)
+    assert {r.doc_id for r in p.language_id(spark, bare, SF).collect()} == {1, 4}
