@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ LETTERS = re.compile(rb"[A-Za-z]")
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a folder of our own takes its place.
+    Only where ``spark.checkpoint.dir`` is unset and driver and executors are one process (tests, a laptop) a folder of
+    our own takes its place; on a cluster that would be a folder of one machine, so there an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -34,6 +36,8 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return context.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="foliospark-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
@@ -64,7 +68,10 @@ def recording(paths: list[str]):
     try:
         yield
     finally:
-        _RECORDS.remove(paths)
+        for k in reversed(range(len(_RECORDS))):  # by identity: two empty lists are equal
+            if _RECORDS[k] is paths:
+                del _RECORDS[k]
+                break
 
 
 def drop_tables(spark: SparkSession, paths: list[str], needed_by: DataFrame | None = None) -> None:
@@ -132,6 +139,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64, on an array."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each values[start:end], all from one running sum of powers; values are random 64-bit numbers."""
+    odd = 0x9E3779B97F4A7C15
+    back = pow(odd, -1, 1 << 64)
+    n = len(values)
+    up = np.cumprod(np.r_[np.uint64(1), np.full(n, odd, np.uint64)], dtype=np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], dtype=np.uint64, out=sums[1:])
+    down = np.cumprod(np.r_[np.uint64(1), np.full(n, back, np.uint64)], dtype=np.uint64)
+    return mix64(mix64((sums[ends] - sums[starts]) * down[starts]) + (ends - starts).astype(np.uint64))
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number of [0, 1) with 52 bits, from the MD5 of the parts joined by '|'."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

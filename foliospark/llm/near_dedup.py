@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, stored, thrifty
+from foliospark.llm.common import WORD_BYTES, mix64, stored, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,19 +44,10 @@ BLOCK, SLICES = 64, 20
 #: Pairs whose shingles are in memory together.
 PAIRS = 256
 
-_A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The finaliser of SplitMix64, on an array."""
-    x = x + _A
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word of each text, one after another; the number of words of each text."""
     from collections import defaultdict

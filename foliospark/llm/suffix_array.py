@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import drop_tables, recording, stored, thrifty
+from foliospark.llm.common import drop_tables, mix64, recording, stored, thrifty
 from foliospark.llm.induced_sort import BUDGET, long_common, suffix_array
-from foliospark.llm.near_dedup import mix64
 
 LENGTH = 200
 SEED = 100

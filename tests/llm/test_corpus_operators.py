@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -466,40 +467,93 @@ def test_long_conversations_come_in_parts(spark):
 # --------------------------------------------------------------------------- 9
 
 
-def brute_spans(rows, run=3, least=12):
-    keyed = sorted({(d if d is not None else -1, t) for d, t in rows if t is not None}, key=lambda r: r[0])
-    seen, gone = set(), defaultdict(set)
-    for d, t in keyed:
-        _, ws = sentence_spans.sentences(t.encode())
-        for i in range(len(ws) - run + 1):
-            key = tuple(map(tuple, ws[i : i + run]))
-            if sum(map(len, key)) >= least:
-                if key in seen:
-                    gone[d, t] |= set(range(i, i + run))
-                seen.add(key)
-    return gone
+def brute_sentences(text, long=16, window=8):
+    """(words, text) of each sentence, by the definition, a word at a time; what stands before the first word."""
+    found = list(re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", text))
+    lead = text[: found[0].start()] if found else text
+    whole, now = [], []
+    for k, m in enumerate(found):
+        stop = found[k + 1].start() if k + 1 < len(found) else len(text)
+        now.append((m[0].translate(LOW), text[m.start() : stop]))
+        gap = text[m.end() : stop]
+        if "\n" in gap or re.search(r"(?s)[.!?].*[ \t\r]", gap) or k + 1 == len(found):
+            whole.append(now)
+            now = []
+    out = []
+    for said in whole:
+        ends = {len(said) - 1}
+        if len(said) > long:
+            for k in range(len(said) - window + 1):
+                ends.add(min(range(k, k + window), key=lambda i: (hashlib.md5(said[i][0].encode()).hexdigest()[:12], -i)))
+        at = 0
+        for e in sorted(ends):
+            out.append((tuple(w for w, _ in said[at : e + 1]), "".join(t for _, t in said[at : e + 1])))
+            at = e + 1
+    return lead, out
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_runs(said, run=2, least=18):
+    got = []
+    for i in range(len(said)):
+        for j in range(i + run, len(said) + 1):
+            if sum(len(w) for w, _ in said[i:j]) >= least:
+                got.append((i, j))
+                break
+    if said and (not got or got[-1][1] < len(said)):
+        got.append((got[-1][0] if got else 0, len(said)))
+    return got
+
+
+def brute_spans(rows, run=2, least=18):
+    """What is left of each row (in order of doc_id; rows with equal ids must be equal), sentences and sentences lost."""
+    seen, out, done = set(), [], set()
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lead, said = brute_sentences(t or "")
+        gone = set(range(len(said))) if (d, t) in done and t is not None else set()
+        done.add((d, t))
+        for i, j in brute_runs(said, run, least):
+            key = sum((w for w, _ in said[i:j]), ())
+            if key in seen:
+                gone |= set(range(i, j))
+            seen.add(key)
+        left = lead + "".join(x for k, (_, x) in enumerate(said) if k not in gone)
+        out.append((d, None if t is None else left, len(said), len(gone)))
+    return Counter(out)
 
 
 def test_sentence_runs_match_brute_force(spark):
     rng = random.Random(8)
-    said = [f"{rng.choice('abc')} satz nummer {i} mit ein paar worten{rng.choice(['. ', '! ', chr(10), '?! '])}" for i in range(30)]
-    rows = [(i, "".join(said[(s + j) % 30] for j in range(rng.randrange(7)))) for i in range(40) for s in [rng.randrange(30)]]
-    rows += [(50, None), (51, ""), (52, "... !!!"), (3, rows[3][1])]
+    ends = [". ", "! ", "\n", "?! ", ".### ", ", ", " ", "... (", ".\t", "1.5 ", ".x "]
+    said = [" ".join(rng.choice(["Wort", "satz", "é", "X9", f"n{i}", f"m{i}"]) for _ in range(rng.choice([1, 3, 7, 20, 60]))) + rng.choice(ends) for i in range(40)]
+    rows = [(i, rng.choice(["", "- ", "\n"]) + "".join(said[(s + j) % 40] for j in range(rng.randrange(9)))) for i in range(60) for s in [rng.randrange(40)]]
+    rows += [(70, None), (71, ""), (72, "... !!!"), (73, "one word"), (74, "ONE! Word."), (None, said[3] * 3), (75, "la " * 200)]
+    rows += [rows[5]] * 3 + [(71, "")]
     docs = spark.createDataFrame([(d, t, "keep") for d, t in rows], "doc_id long, text string, at string").repartition(4)
-    gone = brute_spans(rows)
-    for r in sentence_spans.drop_repeats(docs).collect():
-        text = next(t for d, t in rows if d == r.doc_id)
-        assert r.n_removed == len(gone[r.doc_id, text]) and r.at == "keep"
-        spans, _ = sentence_spans.sentences((text or "").encode())
-        kept = b"".join(text.encode()[s:e] for k, (s, e) in enumerate(spans) if k not in gone[r.doc_id, text])
-        assert r.text == (text if not gone[r.doc_id, text] else kept.decode())
+    got = sentence_spans.drop_repeats(docs).collect()
+    assert Counter((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == brute_spans(rows) and {r.at for r in got} == {"keep"}
+
+
+def test_repeated_passages_of_over_50_words_lose_something():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 9)))
+    noise = lambda: "".join(word() + rng.choice([" "] * 9 + [". ", ", ", "\n"]) for _ in range(rng.randrange(90)))
+    for _ in range(400):
+        passage = "".join(word() + rng.choice([" "] * rng.choice([2, 8, 40]) + [". "]) for _ in range(51))
+        keys = []
+        for _ in range(2):
+            _, said = brute_sentences(noise() + passage + noise())
+            keys.append({sum((w for w, _ in said[i:j]), ()) for i, j in brute_runs(said)})
+        assert keys[0] & keys[1]
 
 
 def test_sentence_runs_awkward_rows(docs, empty):
     out = sentence_spans.drop_repeats(docs)
     assert set(out.columns) == {*docs.columns, "n_sentences"} and out.count() == len(ROWS)
     got = Counter((r.doc_id, r.n_removed) for r in out.collect())
-    assert got[(1, 0)] == 1 and got[(2, 4)] == 1
+    assert got[(1, 0)] == 1 and got[(2, 4)] == 1 and got[(6, 0)] == 1 and got[(6, 1)] == 1
     assert sentence_spans.drop_repeats(empty).count() == 0
 
 
