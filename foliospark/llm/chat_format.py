@@ -1,20 +1,22 @@
 """Chat formatting by multi-party perspective rotation.
 
-For every speaker of a conversation the dialogue is rendered once with that speaker's turns as the
+For every speaker of a conversation the whole dialogue is rendered once with that speaker's turns as the
 assistant's and everybody else as a named user. The mask lists the character spans [start, end) of the rendered
 text that are trained on: what the assistant says, with the closing mark of the turn.
 
 A turn is ``<|assistant|>\\n`` or ``<|user name=NAME|>\\n``, the text, and ``<|end|>\\n``. Turns are in the order of
-(turn, role, text).
-
-A conversation is rendered in parts of at most PART_TURNS turns (part 0, 1, ...), so that no task gathers more than
-that; nearly all have the one part 0. Parts are cut where turn numbers pass a multiple of PART_TURNS, and again after
-every PART_TURNS turns if numbers repeat. The parts in order are the whole dialogue, spans count from the start
-of their part, and a speaker gets all parts, also those without an own turn.
-
-Defined cases: a null role is the speaker 'unknown'; a null text is empty; a null turn stands before turn 0 (in part 0);
-a null conv_id is a conversation; repeated rows are turns of their own; roles in context_roles are shown as named users but
-get no rendering; a conversation of context_roles alone gives no row; further columns play no part.
+(turn, role, text). So that nobody can write a mark, a backslash is put into every ``<|`` of a text or name (behind any backslashes that
+stand between the two signs already, so it can be undone), and likewise into every ``|>`` of a name.
+
+A dialogue is one row, part 0. Only where its turns have more than PART_BYTES (a string can't have over 2 GB, and a task has
+to hold it) it is stored in parts, cut between turns by the bytes before them (numbers rise, and skip behind a turn of over PART_BYTES); the parts in order are the
+whole, spans count from the start of their part, and a speaker gets all parts, also those without an own turn. The turns of
+such a dialogue are numbered over range partitions, so no task gets all of them.
+
+Defined cases: a null role is the speaker 'unknown'; a null text is empty; a null turn stands before turn 0;
+a null conv_id is a conversation; repeated rows are turns of their own; a turn of over PART_BYTES is a part of its own; an empty
+table gives no rows; roles in context_roles are shown as named users but get no rendering; a conversation of context_roles
+alone gives no row; further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,59 +24,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PART_TURNS = 256
+from foliospark.llm.common import stored
+
+PART_BYTES = 32 << 20
 UNNAMED = "unknown"
 #: The marks of the rendered text.
 ASSISTANT = "<|assistant|>\n"
 USER = ("<|user name=", "|>\n")
 END = "<|end|>\n"
-
-
-def perspectives(turns: DataFrame, context_roles: tuple[str, ...] = (), part_turns: int = PART_TURNS) -> DataFrame:
-    """One row per conversation, speaker and part: conv_id, perspective, part, n_turns, text, mask (array of start, end)."""
-    role = F.coalesce("role", F.lit(UNNAMED))
-    number = F.coalesce(F.col("turn"), F.lit(-1))
-    rows = turns.select(
-        "conv_id", F.greatest(F.floor(number / part_turns), F.lit(0)).cast("long").alias("block"), number.alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    # window and grouping share one exchange by (conv_id, block)
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    cut = rows.withColumn("piece", F.floor((F.row_number().over(order) - 1) / part_turns).cast("long"))
-    parts = cut.groupBy("conv_id", "block", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = rows.select("conv_id", "role").distinct()
+#: Bytes that a turn has beside its text and role, about.
+MARK_BYTES = 32
+
+
+def unmarked(text: Column) -> Column:
+    """text in which no mark can begin."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unmarked_name(name: Column) -> Column:
+    return F.regexp_replace(unmarked(name), r"\|(\\*)>", r"|$1\\>")
+
+
+def _parted(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """rows with their part. rows: conv_id, turn, role, text, bytes."""
+    order = ["conv_id", "turn", "role", "text"]
+    sizes = rows.groupBy("conv_id").agg(F.sum("bytes").alias("n")).where(F.col("n") > part_bytes)
+    long = stored(sizes.select(F.col("conv_id").alias("_long")), "long")
+    if long.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    on = rows["conv_id"].eqNullSafe(long["_long"])
+    short = rows.join(long, on, "left_anti").withColumn("part", F.lit(0).cast("long"))
+    # running sums: within range partitions, and over the sums of the partitions before
+    ranged = rows.join(long, on, "left_semi").repartitionByRange(*order).withColumn("bin", F.spark_partition_id())
+    ranged = stored(ranged, "ranged")
+    per = ranged.groupBy("conv_id", "bin").agg(F.sum("bytes").alias("n"))  # a row per partition and dialogue
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = per.select(F.col("conv_id").alias("_long"), F.col("bin").alias("_bin"), "before")
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("conv_id", "bin").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = ranged.withColumn("inside", inside)
+    summed = summed.join(F.broadcast(per), summed["conv_id"].eqNullSafe(per["_long"]) & (summed["bin"] == per["_bin"]))
+    part = F.floor((F.col("before") + F.col("inside")) / part_bytes).cast("long")
+    return short.unionByName(summed.withColumn("part", part).select(*short.columns))
+
+
+def perspectives(turns: DataFrame, context_roles: tuple[str, ...] = (), part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per conversation and speaker (and part): conv_id, perspective, part, n_turns, text, mask (array of start, end)."""
+    role, text = F.coalesce("role", F.lit(UNNAMED)), F.coalesce("text", F.lit(""))
+    bytes_ = (F.octet_length(text) + F.octet_length(role) + MARK_BYTES).cast("long")
+    rows = turns.select("conv_id", F.coalesce(F.col("turn"), F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"), bytes_.alias("bytes"))
+    parts = _parted(rows, part_bytes).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    speakers = rows.select(F.col("conv_id").alias("_fs_conv"), F.col("role").alias("perspective")).distinct()
     if context_roles:
-        speakers = speakers.where(~F.col("role").isin(*context_roles))
-    speakers = speakers.groupBy(F.col("conv_id").alias("_fs_conv")).agg(F.sort_array(F.collect_set("role")).alias("speakers"))
+        speakers = speakers.where(~F.col("perspective").isin(*context_roles))
     both = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["_fs_conv"]))
-    both = both.select("conv_id", "block", "piece", "turns", F.explode("speakers").alias("perspective"))
 
     def mine(t: Column) -> Column:
         return t["role"] == F.col("perspective")
 
     def head(t: Column) -> Column:
-        return F.when(mine(t), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER[0]), t["role"], F.lit(USER[1])))
+        return F.when(mine(t), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER[0]), t["name"], F.lit(USER[1])))
+
+    shown = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), unmarked_name(t["role"]).alias("name"), unmarked(t["text"]).alias("text")))
+    both = both.withColumn("turns", shown)
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
+    sizes = F.transform("turns", lambda t: F.struct(F.length(head(t)).alias("head"), (F.length(t["text"]) + len(END)).alias("body"), mine(t).alias("own")))
+    return both.select(
+        "conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), whole.alias("text"), _spans(sizes).alias("mask")
+    )
+
 
-    text = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+def _spans(sizes: Column) -> Column:
+    """(start, end) of the own turns, of sizes (head, body, own) one after another."""
+    kind = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
 
     def walk(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.length(head(t))
-        end = begin + F.length(t["text"]) + F.lit(len(END))
-        own = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(mine(t), F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+        begin = acc["at"] + t["head"]
+        end = begin + t["body"]
+        own = F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(t["own"], own).otherwise(acc["spans"]).alias("spans"))
 
-    rendered = both.select(
-        "conv_id", "perspective", "block", "piece", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), F.aggregate("turns", start, walk)["spans"].alias("mask")
-    )
-    # parts of one conversation are few and, without their text, short
-    few = parts.select("conv_id", "block", "piece")
-    numbered = few.withColumn("part", F.row_number().over(Window.partitionBy("conv_id").orderBy("block", "piece")) - 1)
-    several = numbered.where((F.col("part") > 0) | (F.col("block") > 0))
-    marked = several.select(F.col("conv_id").alias("_fs_conv"), F.col("block").alias("_fs_block"), F.col("piece").alias("_fs_piece"), "part")
-    on = rendered["conv_id"].eqNullSafe(marked["_fs_conv"]) & (rendered["block"] == marked["_fs_block"]) & (rendered["piece"] == marked["_fs_piece"])
-    return rendered.join(marked, on, "left").select(
-        "conv_id", "perspective", F.coalesce("part", F.lit(0)).cast("long").alias("part"), "n_turns", "text", "mask"
-    )
+    return F.aggregate(sizes, start, walk)["spans"]
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,23 +114,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "part", "n_turns", "text", spans.alias("mask"), masked.alias("n_masked"))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 sp AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
-cut AS (SELECT *, CAST(greatest(floor(turn / 256.0), 0) AS BIGINT) AS block FROM t),
-num AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role, text) - 1) // 256 AS piece FROM cut),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, piece) - 1 AS part FROM num),
 seg AS (
-  SELECT r.conv_id, perspective, part, turn, role, text, role = perspective AS own,
-         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head
-  FROM ranked r JOIN sp ON r.conv_id IS NOT DISTINCT FROM sp.conv_id),
+  SELECT r.conv_id, perspective, turn, role, text, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS shown, role = perspective AS own,
+         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10)
+              ELSE '<|user name=' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') || '|>' || chr(10) END AS head
+  FROM t r JOIN sp ON r.conv_id IS NOT DISTINCT FROM sp.conv_id),
 pos AS (
-  SELECT *, head || text || '<|end|>' || chr(10) AS full_turn,
-         sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
+  SELECT *, head || shown || '<|end|>' || chr(10) AS full_turn,
+         sum(length(head) + length(shown) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop
   FROM seg)
-SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
        string_agg(full_turn, '' ORDER BY turn, role, text) AS text,
-       coalesce(string_agg((stop - length(text) - 8) || '-' || stop, ',' ORDER BY stop) FILTER (WHERE own), '') AS mask,
-       CAST(coalesce(sum(length(text) + 8) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
-FROM pos GROUP BY conv_id, perspective, part
+       coalesce(string_agg((stop - length(shown) - 8) || '-' || stop, ',' ORDER BY stop) FILTER (WHERE own), '') AS mask,
+       CAST(coalesce(sum(length(shown) + 8) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
+FROM pos GROUP BY conv_id, perspective
 """
