@@ -352,25 +352,34 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
-def test_url_rules_of_too_many_lengths_raise(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_LENGTHS", 2, raising=False)
-    pages = spark.createDataFrame([(1, "http://a.de/b")], "page_id long, url string")
-    rules = spark.createDataFrame([("block", "a.de", "/" + "b" * k) for k in range(3)], "verdict string, host string, path string")
-    with pytest.raises(ValueError, match="lengths"):
-        url_filter.filter_urls(pages, rules)
-    assert url_filter.filter_urls(pages, rules.limit(2)).count() == 1
+def test_url_rules_of_any_number(spark):
+    """A list over the bound for constants gives the same rows, out of tables; so do very many path lengths."""
+    rng = random.Random(6)
+    urls = ["http://" + rng.choice(["a.", "", "b.c."]) + rng.choice(["net", "example.com", "x.org"]) + "/" + "de/"[: rng.randrange(4)] + "p" * rng.randrange(60) for _ in range(300)]
+    urls += [None, urls[0], urls[0], "http://net/" + "p" * 20_000]
+    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string").repartition(3)
+    made = [("block", "net", "/" + "p" * k) for k in range(0, 90, 7)] + [("allow", "x.org", "/d" + "e" * (k % 2) + "x" * k) for k in range(40)] + [("allow", "a.net", "/ppp"), ("block", None, "/"), ("allow", "net", None)]
+    made += [("block", f"other{i}.example", "/") for i in range(200)]
+    rules = spark.createDataFrame(made, "verdict string, host string, path string")
+    few = sorted(map(tuple, url_filter.filter_urls(pages, rules).collect()), key=str)
+    many = sorted(map(tuple, url_filter.filter_urls(pages, rules, constant_bytes=0).collect()), key=str)
+    assert few == many and len(few) == len(urls)
+    for _, url, host, path, rule, verdict in [(r[0], r[1], *r[2:]) for r in map(tuple, url_filter.filter_urls(pages, rules).select("page_id", "url", "host", "path", "rule", "verdict").collect())]:
+        fit = [(len(h + p), v == "block", h + p) for v, h, p in made if h and p and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (rule, verdict) == ((max(fit)[2], "block" if max(fit)[1] else "allow") if fit else (None, "allow"))
 
 
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, so several levels
+    monkeypatch.setattr(url_filter, "MAX_HASHES", 1)
+    monkeypatch.setattr(url_filter, "SPLIT_KEYS", 100)
     listed = spark.range(0, 300).selectExpr("concat('k', id) AS key")
     universe = spark.range(0, 3000).selectExpr("array(concat('k', id)) AS keys")
-    cascade = url_filter.Cascade(listed, universe)
     keys = spark.range(0, 3000).selectExpr("id", "concat('k', id) AS key")
-    assert len(cascade.levels) > 2
-    assert sorted(r.id for r in keys.where(cascade.holds(keys.key)).collect()) == list(range(300))
-    with pytest.raises(ValueError):
-        url_filter.Cascade(listed, universe, max_keys=10)
+    for most, splits in ((None, 1), (0, 3)):
+        cascade = url_filter.Cascade(listed, universe, most)
+        assert len(cascade.levels) > 2 and cascade.splits == splits
+        assert sorted(r.id for r in cascade.ask(keys, "listed").where("listed").collect()) == list(range(300))
 
 
 # --------------------------------------------------------------------------- 7
