@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +79,6 @@ def sentences(texts: list[bytes], long: int = LONG, window: int = WINDOW) -> Sen
     from collections import defaultdict
     from itertools import count
 
-    import xxhash
-
     joined = b"\n".join(texts) + b"\n"
     kind = _KIND[np.frombuffer(joined, np.uint8)]
     opens = np.diff((kind == _WORD).view(np.int8), prepend=np.int8(0)) == 1
@@ -105,9 +104,9 @@ def sentences(texts: list[bytes], long: int = LONG, window: int = WINDOW) -> Sen
     words = joined.translate(WORD_BYTES).split()
     ids = np.fromiter(map(number.__getitem__, words), np.int32, n)
     del words
-    value = np.array([int.from_bytes(hashlib.md5(w).digest()[:6], "big") for w in number], np.int64)[ids]
-    digests = [xxhash.xxh3_128_intdigest(w) for w in number]
-    keys = tuple(np.array([(d >> s) & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)[ids] for s in (0, 64))
+    digests = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in number]), ">u8").astype(np.uint64).reshape(-1, 2)
+    keys = digests[ids, 0], digests[ids, 1]
+    value = (keys[0] >> np.uint64(16)).view(np.int64)
 
     stop = np.flatnonzero(border) + 1
     first = np.r_[0, stop[:-1]]
@@ -157,32 +156,37 @@ def _slices(texts: list[bytes], limit: int = BATCH_BYTES):
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text_hash, at, to of the runs that occurred before, in order of (doc_id, text_hash, at, to); and doc_id, text_hash of repeated rows."""
-    schema = "doc_id bigint, text_hash bigint, at array<int>, to array<int>, h array<bigint>, g array<int>"
+    """doc_id, text_hash, spans of the documents with runs that occurred before, in order of (doc_id, text_hash, span); and all documents:
+    doc_id, text_hash, n (sentences), rows. A span is its first sentence * 2**32 plus the one behind its last.
+    """
+    schema = "doc_id bigint, text_hash bigint, n int, span array<bigint>, h array<bigint>, g array<int>"
 
     def cut(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for s, e in _slices(texts):
-                at, to, h, g, many = runs(sentences(texts[s:e], long), run, min_words)
+                found = sentences(texts[s:e], long)
+                at, to, h, g, many = runs(found, run, min_words)
                 offsets = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
-                flat = (at.astype(np.int32), to.astype(np.int32), h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                flat = ((at << 32) | to, h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), *lists], names=["doc_id", "text_hash", "at", "to", "h", "g"]
+                    [batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(found.many.astype(np.int32)), *lists],
+                    names=["doc_id", "text_hash", "n", "span", "h", "g"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
-    table = stored(rows.mapInArrow(thrifty(cut), schema), "runs")
-    twice = table.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
-    flat = table.select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "to", "h", "g")))
-    # stored, so that the join deals both sides anew and Spark can split hot runs
-    often = stored(flat.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "often")
-    shared = stored(flat.join(often.hint("shuffle_hash"), ["h", "g"]), "shared")
-    first = stored(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "at", "to")).alias("first")), "first")
-    same = [F.col(f"first.{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "text_hash", "at", "to")]
-    later = shared.join(first, ["h", "g"]).where(~(same[0] & same[1] & same[2] & same[3]))
-    return later.select("doc_id", "text_hash", "at", "to"), stored(twice, "twice")
+    table = stored(rows.mapInArrow(thrifty(cut), schema).withColumn("no", F.monotonically_increasing_id()), "runs")
+    flat = table.select("no", F.inline(F.arrays_zip("span", "h", "g")))
+    # half the hash is enough to drop most runs; stored, so that the join deals both sides anew and Spark can split hot runs
+    often = stored(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
+    shared = flat.join(often.hint("shuffle_hash"), "h").join(table.select("no", "doc_id", "text_hash"), "no").drop("no")
+    shared = stored(shared, "shared")
+    first = stored(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "span")).alias("first")), "first")
+    same = [F.col(f"first.{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "text_hash", "span")]
+    later = shared.join(first, ["h", "g"]).where(~(same[0] & same[1] & same[2]))
+    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
+    return gone, table.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
 
 
 def _numbered(plain: DataFrame, doc: str, twice: DataFrame) -> DataFrame:
@@ -201,42 +205,51 @@ def _numbered(plain: DataFrame, doc: str, twice: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
     """docs with text cut, and the columns n_sentences and n_removed."""
-    later, twice = repeated_runs(docs, run, min_words, long)
-    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "to")).alias("_fs_at"))
-    gone = gone.select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"), "_fs_at")
+    gone, every = repeated_runs(docs, run, min_words, long)
     names = [f"_fs_{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.xxhash64("text").alias("_fs_key"))
     doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    plain = _numbered(plain, doc, twice)
-    joined = plain.join(gone.hint("shuffle_hash"), (plain["_fs_key"] == gone["_fs_hash"]) & plain[doc].eqNullSafe(gone["_fs_doc"]), "left")
+    every = every.select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"), F.col("n").alias("_fs_n"), "rows")
+    found = gone.select(F.col("doc_id").alias("_fs_d"), F.col("text_hash").alias("_fs_h"), "spans")
+    fate = every.join(found, (every["_fs_hash"] == found["_fs_h"]) & every["_fs_doc"].eqNullSafe(found["_fs_d"]), "left")
+    fate = stored(fate.select("_fs_doc", "_fs_hash", "_fs_n", "rows", "spans"), "fate")
+    plain = _numbered(plain, doc, fate.where("rows > 1").select(F.col("_fs_doc").alias("doc_id"), F.col("_fs_hash").alias("text_hash")))
+    fate = fate.drop("rows")
+    joined = plain.join(fate.hint("shuffle_hash"), (plain["_fs_key"] == fate["_fs_hash"]) & plain[doc].eqNullSafe(fate["_fs_doc"]), "left")
     at = names.index(text)
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            lists, again = (batch.column(len(names) + k).to_pylist() for k in (0, 1))
-            out, n, lost = [], [], []
-            for s, e in _slices([t or b"" for t in texts]):
-                found = sentences([t or b"" for t in texts[s:e]], long)
-                zero = (np.cumsum(found.many) - found.many).tolist()
-                for i, (z, m) in enumerate(zip(zero, found.many.tolist()), s):
-                    t, drop = texts[i], np.zeros(m + 1, np.int64)
-                    for r in lists[i] or ():
-                        drop[r["at"]] += 1
-                        drop[r["to"]] -= 1
-                    gone = np.cumsum(drop)[:m] > 0 if not again[i] else np.ones(m, bool)
-                    n.append(m)
-                    lost.append(int(gone.sum()))
-                    if lost[-1]:
-                        begin, end = found.begin[z : z + m], found.end[z : z + m]
-                        t = b"".join([t[: begin[0]], *(t[a:b] for a, b in zip(begin[~gone].tolist(), end[~gone].tolist()))])
-                    out.append(t)
+            many, spans, again = (batch.column(len(names) + k) for k in range(3))
+            many = many.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            again = again.to_numpy(zero_copy_only=False).astype(bool)
+            lost = np.zeros(len(many), np.int64)
+            out = batch.column(at).cast(pa.binary())
+            touched = np.flatnonzero((again | spans.is_valid().to_numpy(zero_copy_only=False)) & (many > 0))
+            if len(touched):
+                texts = out.to_pylist()
+                for s, e in _slices([texts[k] for k in touched]):
+                    mine = touched[s:e]
+                    part = sentences([texts[k] for k in mine], long)
+                    zero = np.cumsum(part.many) - part.many
+                    flat = spans.take(pa.array(mine)).fill_null([])
+                    owner = np.repeat(zero, pa.compute.list_value_length(flat).to_numpy(zero_copy_only=False))
+                    span = flat.flatten().to_numpy(zero_copy_only=False)
+                    steps = np.zeros(len(part.begin) + 1, np.int64)
+                    np.add.at(steps, owner + (span >> 32), 1)
+                    np.add.at(steps, owner + (span & 0xFFFFFFFF), -1)
+                    gone = (np.cumsum(steps)[:-1] > 0) | np.repeat(again[mine], part.many)
+                    for k, z, m in zip(mine.tolist(), zero.tolist(), part.many.tolist()):
+                        t, keep = texts[k], np.flatnonzero(~gone[z : z + m]) + z
+                        lost[k] = m - len(keep)
+                        texts[k] = b"".join([t[: part.begin[z]], *(t[a:b] for a, b in zip(part.begin[keep].tolist(), part.end[keep].tolist()))])
+                out = pa.array(texts, pa.binary())
             cols = list(batch.columns[: len(names)])
-            cols[at] = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_sentences", "n_removed"])
+            cols[at] = out.cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(many), pa.array(lost)], names=[*names, "n_sentences", "n_removed"])
 
     kinds = [f"{n} {plain.schema[n].dataType.simpleString()}" for n in names]
-    out = joined.select(*names, "_fs_at", "_fs_again").mapInArrow(thrifty(cut), ", ".join([*kinds, "n_sentences bigint", "n_removed bigint"]))
+    out = joined.select(*names, "_fs_n", "spans", "_fs_again").mapInArrow(thrifty(cut), ", ".join([*kinds, "n_sentences bigint", "n_removed bigint"]))
     own = [(n, c) for n, c in zip(names, docs.columns) if c not in ("n_sentences", "n_removed")]
     return out.select(*[F.col(n).alias(c) for n, c in own], "n_sentences", "n_removed")
 
