@@ -134,6 +134,33 @@ def spread(text: bytes, n_bytes: int, piece: int = 1024) -> list[bytes]:
     return [text[k * piece : (k + 1) * piece] for k in sorted(few)]
 
 
+def lowest(rows: DataFrame, group: str, n: int, max_groups: int) -> list:
+    """Of the max_groups most frequent groups the distinct rows with the n smallest hashes each. rows: group, h (64-bit hash), and what names a row.
+
+    A bound on the hash that lets about twice n rows of a group through comes from the groups' sizes; only they are sent to the
+    driver. No task gets a whole group.
+    """
+    whole = 1 << 40
+    place = F.pmod(F.col("h"), F.lit(whole))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group).limit(max_groups).collect()
+    bounds = {r[group]: (whole if r["n"] <= 2 * n else -(-whole * 2 * n // r["n"])) for r in sizes}
+    kind = rows.schema[group].dataType.simpleString()
+    out: list = []
+    while bounds:
+        table = rows.sparkSession.createDataFrame(list(bounds.items()), f"`{group}` {kind}, _bound long")
+        got: dict = {g: [] for g in bounds}
+        for r in rows.join(F.broadcast(table), group).where(place < F.col("_bound")).select(*rows.columns).distinct().collect():
+            got[r[group]].append(r)
+        again = {}
+        for g, found in got.items():
+            if len(found) < n and bounds[g] < whole:  # repeated rows made the group look larger
+                again[g] = min(whole, 8 * bounds[g])
+            else:
+                out.extend(sorted(found, key=lambda r: (r["h"] % whole, *(str(x) for x in r)))[:n])
+        bounds = again
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of ASCII alone take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -6,40 +6,38 @@ context's total n and number of distinct symbols q, coding costs log2((n + q) /
 log2((n + q) / q) and then what the context shorter by a byte charges; below the empty context all 256
 bytes cost 8 bits. A text's language is the one whose tree gives the whole text the shortest code.
 
-As the statistics are frozen, the trees are flattened once per worker: each context known to any tree
-gets a row with the cost of every symbol under every language, and a table over ORDER bytes leads from a place in
-the text to its longest known context. Scoring a text is then two lookups per byte, exact in every escape.
+As the statistics are frozen, the trees are flattened once per worker, whole: per order, each (context, symbol) that any tree has gets its
+cost under every language, and each context the cost of an escape. Scoring a text is a lookup per byte, and one more per
+escape, exact in every one.
 
 Bounds (parameters): training takes at most SAMPLE_DOCS documents and SAMPLE_BYTES bytes per language, those with the
 smallest hash of doc_id, leaving out those that no longer fit (where no text of a language fits, pieces from all over
-one of them are taken); the MAX_CONTEXTS most frequent contexts are kept, so broadcast and tables are
-bounded whatever the corpus. Prediction reads whole texts.
+one of them are taken), of the MAX_LANGS most frequent languages, and ALL_BYTES bytes in all. So model and tables are bounded whatever the corpus; nothing is
+cut from the trees. Prediction reads whole texts, however long, in batches of about BATCH_BYTES.
 
 The score is the probability of the language by the code lengths, tempered by the text's length:
 softmax of minus the bits times TEMPER / sqrt(bytes). Bytes count as they are; the text is preceded by ORDER blanks.
 
 Defined cases: null texts and texts without any letter are 'und' with score 0; rows without a lang or
 with a null text don't train; without any training row everything is 'und'; ties go to the language
-that sorts first; repeated rows are judged each; further columns play no part.
+that sorts first; repeated rows are judged each, and train once; an empty table gives no rows, and with it nothing is learned; further columns play no part, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LETTERS, spread, thrifty
+from foliospark.llm.common import LETTERS, lowest, spread, thrifty
 
 ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2_000_000
-MAX_CONTEXTS = 60_000
-#: Bytes of the cost table; fewer contexts are kept where there are many languages.
-TABLE_BYTES = 48 << 20
+MAX_LANGS = 1000
+ALL_BYTES = 64_000_000
 TEMPER = 1.0
 BATCH_BYTES = 512 << 10
 UNKNOWN = "und"
@@ -49,8 +47,8 @@ def has_letter(text: bytes) -> bool:
     return bool(LETTERS.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
-def train(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> dict:
-    """Frozen counts: languages, alphabet, and per order and language (context and symbol codes, counts).
+def train(texts: dict[str, list[bytes]], order: int = ORDER) -> dict:
+    """Frozen counts: languages, alphabet, and per language and order the codes of (context, symbol) and their counts.
 
     Symbols are the bytes met in training, numbered from 1; 0 stands for all others.
     """
@@ -78,99 +76,96 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int =
                 code = code * size + flat[at - j]
             per.append(np.unique(code, return_counts=True))
         counts.append(per)
-    # the contexts that are kept: by frequency over all languages; a kept one's shorter ones are kept too
-    kept: list[np.ndarray] = [np.zeros(1, np.int64)]
-    left = max(1, min(max_contexts, TABLE_BYTES // (4 * size * max(1, len(langs)))) - 1)
-    for k in range(1, order + 1):
-        codes = np.concatenate([c[k][0] // size for c in counts])
-        n = np.concatenate([c[k][1] for c in counts])
-        ctx, back = np.unique(codes, return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(ctx))
-        known = np.isin(ctx % size ** (k - 1), kept[k - 1])
-        ctx, total = ctx[known], total[known]
-        best = np.sort(ctx[np.argsort(-total, kind="stable")[: max(0, left)]])
-        left -= len(best)
-        kept.append(best)
-    return {"langs": langs, "symbol": symbol, "size": size, "order": order, "counts": counts, "kept": kept}
+    return {"langs": langs, "symbol": symbol, "size": size, "order": order, "counts": counts}
 
 
 def flatten(model: dict) -> dict:
-    """The tables for scoring: context number by the code of the preceding bytes; bits per context, symbol and language."""
+    """Per order: the number of a context by its code (-1: none has it), of a (context, symbol); bits of it, and of an escape, per language."""
     size, order, langs = model["size"], model["order"], model["langs"]
-    first = np.cumsum([0] + [len(k) for k in model["kept"]])
-    bits = np.zeros((int(first[-1]), size, len(langs)), np.float32)
-    for l, per in enumerate(model["counts"]):
-        lower = None
-        for k in range(order + 1):
-            ctx = model["kept"][k]
-            if k == 0:
-                base = np.full((1, size), 8.0, np.float32)
-            else:
-                up = np.searchsorted(model["kept"][k - 1], ctx % size ** (k - 1))
-                base = lower[up]
-            codes, n = per[k]
-            at = np.searchsorted(ctx, codes // size)
-            at[at == len(ctx)] = 0
-            ok = ctx[at] == codes // size if len(ctx) else np.zeros(len(codes), bool)
-            at, symbol, n = at[ok], codes[ok] % size, n[ok]
-            total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
-            lower = (base + escape[:, None]).astype(np.float32)
-            lower[at, symbol] = np.log2((total + kinds)[at] / n)
-            bits[first[k] : first[k + 1], :, l] = lower
-    number = np.zeros(size**order, np.int32)
-    for k in range(1, order + 1):  # longer contexts overwrite the shorter ones that they end in
-        whole = number.reshape(-1, size**k)
-        whole[:, model["kept"][k]] = (first[k] + np.arange(len(model["kept"][k]))).astype(np.int32)
-    return {"number": number, "bits": bits.reshape(-1, len(langs)), "symbol": model["symbol"].astype(np.int32), "size": size, "order": order, "langs": langs}
+    levels = []
+    for k in range(order + 1):
+        codes = np.unique(np.concatenate([per[k][0] for per in model["counts"]])) if k else np.arange(size, dtype=np.int64)
+        contexts = np.unique(codes // size)
+        escape = np.zeros((len(contexts), len(langs)), np.float32)
+        if k:
+            low = levels[-1]
+            lower = low["bits"][np.searchsorted(low["codes"], codes % size**k)]
+        else:
+            lower = np.full((size, len(langs)), 8.0, np.float32)
+        bits = np.empty_like(lower)
+        of = np.searchsorted(contexts, codes // size)
+        for l, per in enumerate(model["counts"]):
+            seen, n = per[k]
+            ctx = np.searchsorted(contexts, seen // size)
+            total, kinds = np.bincount(ctx, n, len(contexts)), np.bincount(ctx, minlength=len(contexts))
+            has = kinds > 0
+            escape[has, l] = np.log2((total[has] + kinds[has]) / kinds[has])
+            bits[:, l] = lower[:, l] + escape[of, l]
+            bits[np.searchsorted(codes, seen), l] = np.log2((total + kinds)[ctx] / n)
+        context = np.full(size**k, -1, np.int32)
+        context[contexts] = np.arange(len(contexts))
+        pair = np.full(len(contexts) * size, -1, np.int32)
+        pair[of * size + codes % size] = np.arange(len(codes))
+        levels.append({"codes": codes, "context": context, "pair": pair, "bits": bits, "escape": escape})
+    return {"levels": levels, "symbol": model["symbol"].astype(np.int32), "size": size, "order": order, "langs": langs}
 
 
 def code_lengths(tables: dict, texts: list[bytes]) -> np.ndarray:
     """Bits of every text under every language: len(texts) x languages."""
-    order, size = tables["order"], tables["size"]
+    order, size, levels = tables["order"], tables["size"], tables["levels"]
     pad = b" " * order
     flat = tables["symbol"][np.frombuffer(b"".join(pad + t for t in texts), np.uint8)]
     lengths = np.array([len(t) for t in texts], np.int64)
     out = np.zeros((len(texts), len(tables["langs"])))
     if not len(flat):
         return out
-    context = np.zeros(len(flat), np.int32)
+    code = np.zeros(len(flat), np.int32)
     for j in range(order, 0, -1):
-        context[order:] = context[order:] * size + flat[order - j : len(flat) - j]
-    cell = tables["number"][context].astype(np.int64) * size + flat
+        code[order:] = code[order:] * size + flat[order - j : len(flat) - j]
     begin = np.cumsum(lengths + order) - lengths - order
-    bits = tables["bits"][cell]
-    # the padding in front of each text costs nothing
-    for j in range(order):
-        bits[begin + j] = 0
-    return np.add.reduceat(bits, begin, axis=0, dtype=np.float64)
-
-
-def _sample(docs: DataFrame, n_docs: int, n_bytes: int) -> dict[str, list[bytes]]:
+    bits = np.zeros((len(flat), len(tables["langs"])), np.float32)
+    real = np.ones(len(flat), bool)
+    for j in range(order):  # the padding in front of each text costs nothing
+        real[begin + j] = False
+    todo = np.flatnonzero(real)
+    for k in range(order, -1, -1):
+        level = levels[k]
+        context = level["context"][code[todo] % size**k]
+        pair = np.where(context >= 0, level["pair"][np.maximum(context, 0) * size + flat[todo]], -1)
+        hit = pair >= 0
+        bits[todo[hit]] += level["bits"][pair[hit]]
+        left = (context >= 0) & ~hit
+        bits[todo[left]] += level["escape"][context[left]]
+        todo = todo[~hit]
+        if not len(todo):
+            break
+    # an empty text has its padding only
+    return np.add.reduceat(bits, begin, axis=0, dtype=np.float64) if order else np.array([bits[b : b + n].sum(0, dtype=np.float64) for b, n in zip(begin, lengths)])
+
+
+def _sample(docs: DataFrame, n_docs: int, n_bytes: int, max_langs: int = MAX_LANGS) -> dict[str, list[bytes]]:
     """lang to texts of its training sample, bounded per language by documents and bytes."""
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     keyed = docs.select("lang", "text", h.alias("h"), F.octet_length("text").alias("n"))
-    # texts over the bound last: they are asked only where a language has no other
-    by = Window.partitionBy("lang").orderBy(F.col("n") > n_bytes, "h", "n")
-    few = keyed.select("lang", "h", "n").withColumn("k", F.row_number().over(by)).where(F.col("k") <= n_docs)
+    fitting = lowest(keyed.where(F.col("n") <= n_bytes).select("lang", "h", "n"), "lang", n_docs, max_langs)
+    have = {r["lang"] for r in fitting}
+    only_long = keyed.where(F.col("n") > n_bytes).groupBy("lang").agg(F.min(F.struct("h", "n")).alias("one")).limit(max_langs).collect()
+    chosen = [(r["lang"], r["one"]["h"], r["one"]["n"]) for r in only_long if r["lang"] not in have]
     room: dict[str, int] = {}
-    chosen: Counter = Counter()
-    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["k"])):
+    n_bytes = min(n_bytes, ALL_BYTES // max(1, len(have) + len(chosen)))
+    for r in fitting:
         left = room.setdefault(r["lang"], n_bytes)
-        if r["n"] <= left or r["k"] == 1:
-            room[r["lang"]] = max(0, left - r["n"])
-            chosen[r["lang"], r["h"], r["n"]] += 1
+        if r["n"] <= left:
+            room[r["lang"]] = left - r["n"]
+            chosen.append((r["lang"], r["h"], r["n"]))
     out: dict[str, list[bytes]] = {}
     if not chosen:
         return out
-    asked = docs.sparkSession.createDataFrame(list(chosen), "lang string, h long, n int")
-    for r in keyed.join(F.broadcast(asked), ["lang", "h", "n"], "left_semi").toLocalIterator():
-        key = r["lang"], r["h"], r["n"]
-        if chosen[key]:  # equal hashes could bring more
-            chosen[key] -= 1
-            out.setdefault(r["lang"], []).extend(spread(r["text"].encode(), n_bytes))
+    asked = docs.sparkSession.createDataFrame(chosen, "lang string, h long, n int")
+    found = keyed.join(F.broadcast(asked), ["lang", "h", "n"], "left_semi").groupBy("lang", "h", "n").agg(F.min("text").alias("text"))
+    for r in found.select("lang", "text").toLocalIterator():
+        out.setdefault(r["lang"], []).extend(spread(r["text"].encode(), n_bytes))
     return out
 
 
@@ -192,6 +187,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
             got["tables"] = flatten(got["model"]) if got["model"]["langs"] else {"langs": []}
         tables = got["tables"]
         langs = tables["langs"]
+        most = min(BATCH_BYTES, max(1 << 12, (BATCH_BYTES << 4) // max(1, len(langs))))
         for batch in batches:
             texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
             ok = np.array([has_letter(t) for t in texts], bool) if langs else np.zeros(len(texts), bool)
@@ -201,7 +197,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
                 if k >= 0:
                     at.append(k)
                     size += len(texts[k])
-                if at and (k < 0 or size >= BATCH_BYTES):
+                if at and (k < 0 or size >= most):
                     bits = code_lengths(tables, [texts[i] for i in at])
                     n = np.array([len(texts[i]) for i in at], float)
                     ahead = np.exp((bits.min(1, keepdims=True) - bits) * (TEMPER / np.sqrt(n))[:, None])

@@ -6,23 +6,24 @@ feature: above 0 it resembles good text. Long texts outgrow a dictionary, so the
 by piece, PIECE bytes each, every piece with the dictionary anew, and sizes add up: the whole text counts alike.
 A logistic curve, fitted on labelled texts that trained no dictionary, turns the feature into a probability.
 
-Bounds (parameters): at most SAMPLE_DOCS texts per class are used, those with the smallest hash of doc_id, of
-each at most SAMPLE_BYTES bytes, in pieces from all over the text, for a dictionary; half of them train dictionaries, half the curve.
+Bounds (parameters): at most SAMPLE_DOCS labels per class are used, those with the smallest hash of doc_id. Half of their texts train dictionaries, with
+at most SAMPLE_BYTES bytes each, in pieces from all over the text, and these pieces alone are sent to the driver. The other half train the curve: they are
+compressed where they are, whole, and their features are sent.
 
 Defined cases: null and empty texts have feature 0 and get the curve's value there; a doc_id with several
-labels counts with each; null labels don't count; if a class has too few texts to train a dictionary its texts become
+labels counts with each, one with several texts with the smallest of them; null labels and labels without a text don't count; if a class has too few texts to train a dictionary its texts become
 the dictionary's content as they are; with a class missing every score is the share of good labels (0.5 without labels);
-repeated rows are judged each.
+repeated rows are judged each; very long texts are compressed whole, piece by piece; an empty table gives no rows; further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import spread, thrifty
+from foliospark.llm.common import lowest, spread, thrifty
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 20_000
@@ -84,27 +85,43 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
     return float(w[0] / scale), float(w[1])
 
 
+def _pieces(texts: DataFrame) -> DataFrame:
+    """quality, k, pieces of texts (quality, k, text)."""
+
+    def cut(batches):
+        for batch in batches:
+            got = [spread(t, SAMPLE_BYTES, PIECE) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.binary()))], names=["quality", "k", "pieces"])
+
+    return texts.select("quality", "k", "text").mapInArrow(thrifty(cut), "quality int, k int, pieces array<binary>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, quality)."""
     h = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    by = Window.partitionBy("quality").orderBy("h", "doc_id")
-    few = labels.where("quality IN (0, 1)").select("doc_id", "quality", h.alias("h")).distinct()
-    few = few.withColumn("k", F.row_number().over(by)).where(F.col("k") <= n_docs).select("doc_id", "quality", "k")
+    named = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("quality").cast("int").alias("quality"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    chosen: dict = {0: [], 1: []}
+    for r in lowest(named, "quality", n_docs, 2):
+        chosen[r["quality"]].append(r["doc_id"])
+    rows = [(d, q, k) for q, ids in chosen.items() for k, d in enumerate(ids)]
+    if not rows:
+        return {"share": 0.5}
+    few = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int, k int")  # 2 * n_docs short rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").where("text <> ''")
+    texts = texts.groupBy("quality", "k").agg(F.min("text").alias("text"))
+    # every other text of a class, in the order of its hash, trains its dictionary
     got: dict = {0: [], 1: []}
-    # at most 2 * n_docs short rows are broadcast; texts are cut for the dictionaries only
-    for r in docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "k", "text").toLocalIterator():
-        if r["text"] and len(got[r["quality"]]) < 2 * n_docs:
-            got[r["quality"]].append((r["k"], r["text"].encode()))
-    good, bad = ([t for _, t in sorted(got[q])] for q in (1, 0))
-    if not good or not bad:
-        return {"share": len(good) / (len(good) + len(bad)) if good or bad else 0.5}
-    cut = lambda texts: [p for t in texts[::2] for p in spread(t, SAMPLE_BYTES, PIECE)]
-    model = {"good": make_dictionary(cut(good)), "bad": make_dictionary(cut(bad))}
-    g, b = compressors(model["good"], model["bad"])
-    rest = [(good[1::2] or good), (bad[1::2] or bad)]
-    x = features([*rest[0], *rest[1]], g, b)
-    y = np.r_[np.ones(len(rest[0])), np.zeros(len(rest[1]))]
-    model["slope"], model["offset"] = fit_curve(x, y)
+    for r in _pieces(texts.where("k % 2 = 0")).orderBy("quality", "k").toLocalIterator():
+        got[r["quality"]].extend(r["pieces"])
+    if not got[0] or not got[1]:
+        n = dict(texts.groupBy("quality").count().collect())
+        return {"share": n.get(1, 0) / (n.get(0, 0) + n.get(1, 0)) if n else 0.5}
+    model = {"good": make_dictionary(got[1]), "bad": make_dictionary(got[0]), "slope": 1.0, "offset": 0.0}
+    curve = texts.where("k % 2 = 1")
+    if curve.groupBy("quality").count().count() < 2:  # so few that all serve twice
+        curve = texts
+    seen = score_quality(curve.select((F.col("k") * 2 + F.col("quality")).alias("doc_id"), "text"), model).orderBy("doc_id").collect()
+    model["slope"], model["offset"] = fit_curve(np.array([r["feature"] for r in seen]), np.array([r["doc_id"] % 2 for r in seen], float))
     return model
 
 

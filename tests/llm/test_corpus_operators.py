@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 
 from foliospark.llm import (
     chat_format,
+    common,
     decontamination,
     exact_dedup,
     language_id,
@@ -400,6 +402,66 @@ def test_ppm_code_lengths_by_hand():
     assert b0 > a0
 
 
+class BruteTree:
+    """A context tree of dictionaries, with escapes taken one at a time."""
+
+    def __init__(self, texts, order=3):
+        self.order, self.counts = order, defaultdict(Counter)
+        for t in texts:
+            padded = b" " * order + t
+            for i in range(order, len(padded)):
+                for k in range(order + 1):
+                    self.counts[padded[i - k : i]][padded[i]] += 1
+
+    def bits(self, t):
+        padded, out = b" " * self.order + t, 0.0
+        for i in range(self.order, len(padded)):
+            for k in range(self.order, -1, -1):
+                seen = self.counts.get(padded[i - k : i])
+                if seen is None:
+                    continue
+                n, q = sum(seen.values()), len(seen)
+                if padded[i] in seen:
+                    out += math.log2((n + q) / seen[padded[i]])
+                    break
+                out += math.log2((n + q) / q)
+            else:
+                out += 8
+        return out
+
+
+def test_language_query_matches_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    by = defaultdict(list)
+    for r in rows:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            by[r.lang].append(r.text.encode())
+    assert all(len(t) < language_id.SAMPLE_DOCS and sum(map(len, t)) < language_id.SAMPLE_BYTES for t in by.values())
+    trees = {lang: BruteTree(t) for lang, t in sorted(by.items())}
+    got = {r.doc_id: r for r in language_id.op7_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows[:120]:
+        t, mine = (r.text or "").encode(), got[r.doc_id]
+        assert mine.held_out == held[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (mine.lang_pred, mine.score) == ("und", 0)
+            continue
+        bits = {lang: tree.bits(t) for lang, tree in trees.items()}
+        best = min(bits, key=bits.get)
+        p = 1 / sum(math.exp(min(700, (bits[best] - b) / math.sqrt(len(t)))) for b in bits.values())
+        assert mine.lang_pred == best and abs(mine.score - p) < 1e-3
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=4), st.lists(st.binary(max_size=30), min_size=1, max_size=5), st.integers(1, 4))
+def test_code_lengths_match_brute_force(known, texts, order):
+    tables = language_id.flatten(language_id.train({"a": known, "b": known[:1], "c": [b"abc" * 9]}, order=order))
+    got = language_id.code_lengths(tables, texts)
+    want = [[BruteTree(k, order).bits(t) for k in (known, known[:1], [b"abc" * 9])] for t in texts]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.op7_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -589,6 +651,35 @@ def test_quality_held_out(spark):
     assert auc > 0.95 and (out.predicted == (out.score >= 0.3)).all()
 
 
+def test_quality_query_matches_a_loop_over_all_rows(spark):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_dict_id=False) for k in ("good", "bad")]
+    got = {r.doc_id: r for r in quality.op10_quality_classifier(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        t = (r.text or "").encode()
+        good, bad = (sum(len(p.compress(t[k : k + 1024])) for k in range(0, len(t), 1024)) for p in packers)
+        x = (bad - good) / (bad + good) if t else 0.0
+        p = 1 / (1 + math.exp(-(model["slope"] * x + model["offset"])))
+        mine = got[r.doc_id]
+        assert abs(mine.score - p) < 1e-9 and mine.predicted == (p >= 0.3) and mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_lowest_takes_the_smallest_hashes_of_each_group(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' WHEN id < 7 THEN 'c' ELSE 'a' END AS g", "xxhash64(id) AS h", "id")
+    rows = rows.unionByName(rows.where("id < 40").crossJoin(spark.range(300)).select("g", rows.h, rows.id)).cache()  # many repeats
+    got = common.lowest(rows, "g", 60, 9)
+    want = defaultdict(set)
+    for r in rows.distinct().collect():
+        want[r.g].add((r.h % (1 << 40), r.id))
+    assert {g: {r.id for r in got if r.g == g} for g in want} == {g: {i for _, i in sorted(w)[:60]} for g, w in want.items()}
+    assert {r.g for r in common.lowest(rows, "g", 60, 1)} == {"a"}
+
+
 def test_quality_learns_from_the_later_part_of_long_texts(spark):
     rng = random.Random(3)
     same = " ".join(f"wort{rng.randrange(10**6)}" for _ in range(2500))  # over SAMPLE_BYTES
