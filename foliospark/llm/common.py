@@ -48,14 +48,39 @@ def shared_root(spark: SparkSession) -> str:
 _RECORDS: list[list[str]] = []
 
 
+#: All tables of this process that are still there, and a way to remove them when it ends.
+_LEFT: dict[str, object] = {}
+
+
+def _remove_left() -> None:
+    for path, where in list(_LEFT.items()):
+        try:
+            where.delete(True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
+
+
+class _Place:
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def delete(self, deep: bool) -> None:
+        self.system.delete(self.path, deep)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there.
 
-    A lost executor costs no recomputation of what went into the table.
+    A lost executor costs no recomputation of what went into the table. What nobody dropped before goes when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _LEFT:
+        atexit.unregister(_remove_left)
+        atexit.register(_remove_left)
+    _LEFT[path] = _Place(spark, path)
     if _RECORDS:
         _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,11 +113,20 @@ def drop_tables(spark: SparkSession, paths: list[str], needed_by: DataFrame | No
         if path.rsplit("/", 1)[-1] in used:
             left.append(path)
             continue
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _Place(spark, path).delete(True)
+        _LEFT.pop(path, None)
     paths[:] = left
 
 
+#: Rows of two or three short columns that may be broadcast: some 30 MB in each executor.
+SMALL_ROWS = 250_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it has at most so many rows (they are counted); otherwise as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 #: Rows of an Arrow batch that are unpacked into Python objects together.
 SLICE_ROWS = 512
 

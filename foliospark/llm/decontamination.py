@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, stored, thrifty
+from foliospark.llm.common import WORD_BYTES, small, stored, thrifty
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -255,7 +255,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     mark = F.xxhash64("doc_id", "text")  # tells apart texts that share a doc_id
     leaks = find_leaks(docs.select(mark.alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0)
     gone = stored(leaks.select(F.col("doc_id").alias("_fs_mark")).distinct(), "leaks")
-    return docs.withColumn("_fs_mark", mark).join(gone, "_fs_mark", "left_anti").select(*docs.columns)
+    return docs.withColumn("_fs_mark", mark).join(small(gone), "_fs_mark", "left_anti").select(*docs.columns)
 
 
 def digest(leaks: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Digests that
 occur very often (found with a Misra-Gries summary, then counted exactly) are decided map-side with a
 broadcast table of at most 1/support rows. All other digests, none of which holds more than that share
-of the rows, are grouped with an ordinary shuffle of (digest, doc_id): texts are never shuffled here.
+of the rows, are grouped with an ordinary shuffle of (digest, doc_id): texts are never shuffled for it. The share is at most
+SUPPORT, and less with many shuffle partitions: a digest that isn't broadcast then has half a partition's rows at most.
+
+exact_dedup drops the copies where the texts are, if at most SMALL_ROWS distinct (digest, doc_id) go; beyond that rows and keys meet in a shuffle.
 
 Defined cases: null text equals ''; an empty table gives an empty result; of equal texts the row with
 the largest doc_id stays (null is smaller than any number); of rows that tie in text and doc_id
-exactly one stays; columns beyond doc_id and text play no part.
+exactly one stays, and counts in group_size; very long texts are digested whole and stay where they are; columns beyond doc_id and text play no part,
+whatever their names, and exact_dedup gives them back as they are.
 """
 
 from __future__ import annotations
@@ -15,11 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower, stored
+from foliospark.llm.common import ascii_lower, small, stored
 
 SUPPORT = 0.001
 
 
+def _support(spark: SparkSession) -> float:
+    return min(SUPPORT, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def digest(text="text"):
     return F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
 
@@ -28,8 +36,9 @@ def _decided(rows: DataFrame, groups: DataFrame, hint: bool) -> DataFrame:
     return rows.join(F.broadcast(groups) if hint else groups, "text_sha256")
 
 
-def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+def exact_groups(docs: DataFrame, support: float | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    support = support or _support(docs.sparkSession)
     rows = stored(
         docs.select("doc_id", digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row_no")),
         "digests",
@@ -61,26 +70,27 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+def exact_dedup(docs: DataFrame, support: float | None = None) -> DataFrame:
     """docs without the rows that are copies; all columns stay as they are."""
     mark, key = "_fs_digest", "_fs_doc"
-    groups = exact_groups(docs, support)
-    losers = groups.where(~F.col("kept"))
+    several = exact_groups(docs, support).where("group_size > 1")
     # A row goes if its (text, doc_id) lost; a key that has both a winner and losers is a tie.
     fate = stored(
-        groups.join(losers.select("text_sha256").distinct(), "text_sha256", "left_semi")
-        .groupBy(F.col("text_sha256").alias(mark), F.col("doc_id").alias(key))
-        .agg(F.max("kept").alias("_fs_kept"), (F.count(F.lit(1)) > 1).alias("_fs_tie")),
+        several.groupBy(F.unhex("text_sha256").alias(mark), F.col("doc_id").alias(key)).agg(F.max("kept").alias("_fs_kept"), F.count(F.lit(1)).alias("_fs_n")),
         "fate",
     )
-    marked = docs.withColumn(mark, digest())
-    on = (marked[mark] == fate[mark]) & marked["doc_id"].eqNullSafe(fate[key])
-    gone = fate.where(~F.col("_fs_kept") | F.col("_fs_tie"))
-    rest = marked.join(gone, on, "left_anti").select(*docs.columns)
-    ties = fate.where(F.col("_fs_kept") & F.col("_fs_tie"))
+    marked = docs.withColumn(mark, F.unhex(digest()))
+
+    def on(keys: DataFrame):
+        return (marked[mark] == keys[mark]) & marked["doc_id"].eqNullSafe(keys[key])
+
+    ties = fate.where("_fs_kept AND _fs_n > 1").select(mark, key)
+    gone = small(fate.where("NOT _fs_kept OR _fs_n > 1").select(mark, key))
+    rest = marked.join(gone, on(gone), "left_anti").select(*docs.columns)
     if ties.isEmpty():
         return rest
-    tied = marked.join(ties, on, "left_semi").dropDuplicates([mark]).select(*docs.columns)
+    ties = small(ties)
+    tied = marked.join(ties, on(ties), "left_semi").dropDuplicates([mark]).select(*docs.columns)
     return rest.unionByName(tied)
 
 

@@ -8,7 +8,8 @@ a hashed key and sorted by it, which is the global shuffle.
 
 Defined cases: null is a source of its own; a source that weights don't name has weight 0; a source
 that documents don't have changes nothing (the shares of the others are scaled up); a null doc_id is
-replaced by the text's MD5; repeated doc_ids share a count; empty documents give an empty result.
+replaced by the text's MD5; repeated doc_ids, and repeated rows, share a count; null, empty and very long texts are copied like any other; empty documents
+give an empty result; columns named copy_no or shuffle_key are replaced by the result's own, all others stay.
 """
 
 from __future__ import annotations
@@ -83,22 +84,16 @@ def replicate(
         marked = docs.withColumn("_fs_row_salt", F.pmod(F.xxhash64(_identity()), F.lit(SALTS)).cast("int"))
         on = marked["source"].eqNullSafe(rates["_fs_source"]) & (marked["_fs_row_salt"] == rates["_fs_salt"])
         joined = marked.join(rates, on)
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_fs_parts")),
-        F.lit(0),
-        lambda acc, part: acc + F.size(
-            F.filter("_fs_cdf", lambda c: c <= unit_hash(F.lit(seed), F.col("_fs_id"), part.cast("string")))
-        ),
-    )
-    simple = F.size(F.filter("_fs_cdf", lambda c: c <= F.col("_fs_u")))
-    copies = (
-        joined.withColumn("_fs_id", _identity())
-        .withColumn("_fs_u", unit_hash(F.lit(seed), F.col("_fs_id"), F.lit("1")))
-        .withColumn("_fs_n", F.when(F.col("_fs_parts") == 1, simple).otherwise(drawn))
-        .where(F.col("_fs_n") > 0)
-    )
+    def below(part: Column) -> Column:
+        """How many entries of the table are at or under the number of that part, which is hashed once."""
+        u = F.array(unit_hash(F.lit(seed), _identity(), part.cast("string")))
+        return F.get(F.transform(u, lambda u: F.size(F.filter("_fs_cdf", lambda c: c <= u))), F.lit(0))
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("_fs_parts")), F.lit(0), lambda acc, part: acc + below(part))
+    count = F.array(F.when(F.col("_fs_parts") == 1, below(F.lit(1))).otherwise(drawn))
+    numbers = F.flatten(F.transform(count, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
     kept = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    out = copies.select(*kept, "_fs_id", F.explode(F.sequence(F.lit(1), F.col("_fs_n"))).alias("copy_no"))
+    out = joined.select(*kept, _identity().alias("_fs_id"), F.explode(numbers).alias("copy_no"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "_fs_id", "copy_no")), 1, 15), 16, 10).cast("long")
     out = out.select(*kept, "copy_no", key.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

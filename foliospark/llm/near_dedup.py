@@ -5,8 +5,8 @@ if sum(min) / sum(max) of the multiplicities is at least THRESHOLD; classes are
 
 Signatures (Ertl's BagMinHash): a shingle's weight axis is cut into the dyadic levels [0,1), [1,2), [2,4) ...,
 each with a Poisson process of its own of rate M per unit, seeded by (shingle, level). A point has a time,
-a component 1..M and, by repeated halving of its level, a place on the weight axis; it counts for a
-document if the place is below the document's weight. Component k of the signature is the first time at k. Two
+a component 1..M and a place on the weight axis, uniform in its level (32 bits, drawn at once: the levels are not halved
+further, as points of a level that the weight cuts are few); it counts for a document if the place is below the document's weight. Component k of the signature is the first time at k. Two
 documents agree in a component with probability equal to their weighted Jaccard similarity. Processes
 are followed only up to a time by which all components have most likely been met; where not, the time
 is doubled. So about M ln M points are made per document, whatever its length.
@@ -20,9 +20,10 @@ their distances to the leader rule out. A pair of a bucket is thus compared unle
 can't be linked: no link between classes is lost. Buckets, blocks, links and components stay distributed; hot buckets
 are aggregated map-side and joined with joins that Spark may split.
 
-Defined cases: null and empty texts, and texts without a word, are classes of their own (one per row
-key); the key of a row is (doc_id, hash of text), so fully repeated rows count as one document; a null
-doc_id is allowed; class_id is the smallest doc_id of the class (null only if all are null).
+Defined cases: null and empty texts, and texts without a word, are classes of their own, one per row; fully repeated rows are
+documents of one class, of which one can stay; a null
+doc_id is allowed; class_id is the smallest doc_id of the class (null only if all are null); ties between rows of the smallest doc_id go by the hash of the text; very long texts are hashed
+whole, and held whole by the task that compares them; an empty table gives no rows; further columns play no part, whatever their names, and near_dedup gives them back as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, mix64, stored, thrifty
+from foliospark.llm.common import WORD_BYTES, mix64, small, stored, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -192,7 +193,7 @@ def _chunks(batches, limit: int):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, sequence (hash of the shingle sequence), bands; stored."""
+    """doc_id, text_hash, n_shingles, sequence (hash of the shingle sequence), bands, row_no; stored."""
     schema = "doc_id bigint, text_hash bigint, n_shingles int, sequence binary, bands array<bigint>"
 
     def sign(batches):
@@ -210,7 +211,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return stored(rows.mapInArrow(thrifty(sign), schema), "signatures")
+    return stored(rows.mapInArrow(thrifty(sign), schema).withColumn("row_no", F.monotonically_increasing_id()), "signatures")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,7 +316,7 @@ def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, text_hash, class_id, class_size, kept."""
+    """One row per document: doc_id, text_hash, class_id, class_size, kept."""
     signed = signatures(docs)
     keyed = signed.where("n_shingles > 0")
     # one node for the documents with the same shingle sequence
@@ -345,33 +346,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = stored(_between_blocks(stored(rest, "open"), texts.select("node", "bands", "text"), threshold), "links")
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
-    rows = keyed.select("doc_id", "text_hash", "sequence").distinct()
+    rows = keyed.select("doc_id", "text_hash", "sequence", "row_no")
     classed = (
         rows.join(nodes.select("sequence", "node"), "sequence")
         .join(comp, "node", "left")
-        .select("doc_id", "text_hash", F.coalesce("comp", "node").alias("class"))
+        .select("doc_id", "text_hash", "row_no", F.coalesce("comp", "node").alias("class"))
     )
-    named = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("doc_id", "text_hash")).alias("best"))
-    out = classed.join(named, "class").select(
-        "doc_id", "text_hash", "class_id", "class_size", ((F.col("best.text_hash") == F.col("text_hash")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))).alias("kept")
-    )
-    alone = signed.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
+    named = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("doc_id", "text_hash", "row_no")).alias("best"))
+    out = classed.join(named, "class").select("doc_id", "text_hash", "class_id", "class_size", (F.col("best.row_no") == F.col("row_no")).alias("kept"))
+    alone = signed.where("n_shingles = 0")
     return out.unionByName(alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id. Fully repeated rows stay once."""
-    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"))
+    """docs with one document of each class: the one with the smallest doc_id. Fully repeated rows with words stay once."""
+    classes = near_duplicates(docs, threshold)
+    fate = classes.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("class_size").alias("size"))
+    fate = stored(fate.where("NOT kept OR (n > 1 AND size > 1)"), "fate")
     marked = docs.withColumn("_fs_text", F.xxhash64("text"))
-    on = (marked["_fs_text"] == gone["_fs_hash"]) & marked["doc_id"].eqNullSafe(gone["_fs_doc"])
-    rest = marked.join(gone, on, "left_anti")
-    again = marked.groupBy("doc_id", "_fs_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_fs_doc"), F.col("_fs_text").alias("_fs_hash"))
-    again = stored(again, "repeated")
+
+    def on(keys: DataFrame):
+        return (marked["_fs_text"] == keys["_fs_hash"]) & marked["doc_id"].eqNullSafe(keys["_fs_doc"])
+
+    gone = small(fate.select("_fs_doc", "_fs_hash"))
+    rest = marked.join(gone, on(gone), "left_anti").select(*docs.columns)
+    again = fate.where("kept").select("_fs_doc", "_fs_hash")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    on = (rest["_fs_text"] == again["_fs_hash"]) & rest["doc_id"].eqNullSafe(again["_fs_doc"])
-    once = rest.join(again, on, "left_semi").dropDuplicates(["doc_id", "_fs_text"])
-    return rest.join(again, on, "left_anti").unionByName(once).select(*docs.columns)
+        return rest
+    again = small(again)
+    once = marked.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "_fs_text"]).select(*docs.columns)
+    return rest.unionByName(once)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from test_corpus_operators import brute_classes, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,34 @@ def test_language_stage_rejects_noise_and_keeps_unlabelled_text(spark):
     assert not {r[0] for r in rows} & kept and len(lettered - kept) <= 0.001 * len(lettered)
     bare = spark.createDataFrame([(1, "Ein Satz", None), (2, "!!!", None), (3, None, None), (4, "\u0661 \u00e9", None)], docs.schema)
     assert {r.doc_id for r in p.language_id(spark, bare, SF).collect()} == {1, 4}
+
+
+def test_runs_do_not_touch_each_other(spark):
+    first, second = p.run(spark, SF), p.run(spark, SF)
+    n = second.count()
+    assert n == first.count() > 0
+
+
+def test_stage_values_on_a_small_table(spark):
+    """Each stage against its definition, row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    lettered = {r.doc_id for r in rows if any(c.isalpha() for c in r.text or "")}
+    one = p.language_id(spark, docs, SF).collect()
+    assert {r.doc_id for r in one} == lettered  # too few labelled texts for a bound
+    two = p.exact_copies(spark, spark.createDataFrame(one, docs.schema), SF).collect()
+    best: dict = {}
+    for r in one:
+        key = r.text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        best[key] = max(best.get(key, -1), r.doc_id)
+    assert sorted(r.doc_id for r in two) == sorted(best.values())
+    three = p.near_copies(spark, spark.createDataFrame(two, docs.schema), SF).collect()
+    groups = brute_classes([(r.doc_id, r.text) for r in two])
+    assert sorted(r.doc_id for r in three) == sorted(min(d for d, _ in g) for g in groups)
+    four = p.benchmark_leaks(spark, spark.createDataFrame(three, docs.schema), SF).collect()
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    grams = {tuple(b[k : k + 10]) for _, t in items for b in [words(t)] for k in range(max(1, len(b) - 9) if b else 0)}
+    sizes = {len(g) for g in grams}
+    leaky = {r.doc_id for r in three for w in [words(r.text)] for n in sizes if any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1))}
+    assert sorted(r.doc_id for r in four) == sorted({r.doc_id for r in three} - leaky)
+    assert 0 < len(four) < len(three) < len(two) < len(rows)
