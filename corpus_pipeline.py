@@ -2,9 +2,14 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() applies
 them to the documents, each stage's rows written as Parquet and read again as the next one's docs, so a
-lost executor costs no more than the stage it was in. As a stage begins, the tables that the operators of earlier stages
-stored on the way are removed, unless the docs given still read them: a stage's result is to be written
-before the next stage begins.
+lost executor costs no more than the stage it was in. The tables that a stage's operator stored on the way belong to the run, and go when
+the stage's rows are written; those that the rows returned are read from go when the process ends. Runs don't touch each other's tables.
+
+Stages called by hand, one after another, share one list of tables: as a stage begins, the tables of those before are removed, unless the docs given
+still read them, so a stage's result is to be written before the next one begins.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and further columns as the docstring of its operator
+says, and gives all columns back as they are; what a stage adds to that is in its own docstring.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ QUANTILE = 0.999
 MARGIN = 1.5
 LEAST = 100
 
-#: Tables that the operators of the stages have stored and that are still there.
+#: Tables that stages called by hand have stored and that are still there.
 _TABLES: list[str] = []
 
 
@@ -67,22 +72,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays."""
     return exact_dedup(docs)
 
 
 @stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays; texts without a word all stay."""
     return near_dedup(docs)
 
 
 @stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a window of a benchmark item go."""
+    """Documents that contain a window of a benchmark item go; with an empty benchmark none does."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source gets the same share; the columns copy_no and shuffle_key are added."""
     return replicate(docs)
 
 
@@ -99,12 +107,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     between: list[str] = []
     for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
+        mine: list[str] = []
+        with recording(mine):
+            docs = step.__wrapped__(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             before, between = between, []
             with recording(between):
                 docs = stored(docs, f"stage{k}")
-            drop_tables(spark, before, needed_by=docs)
+            drop_tables(spark, [*before, *mine], needed_by=docs)
     return docs
 
 
