@@ -39,6 +39,53 @@ UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 DECOMPOSED = tuple((unicodedata.normalize("NFD", u), w) for u, w in UMLAUTS[:3])
 
 
+def norm_py(text: str) -> str:
+    """The definition of norm."""
+    text = unicodedata.normalize("NFKC", text).lower()
+    for umlaut, letters in UMLAUTS:
+        text = text.replace(umlaut, letters)
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def _ranges(codes: list[int]) -> str:
+    """A pattern class of code points."""
+    out, k = [], 0
+    while k < len(codes):
+        j = k
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\x{{{codes[k]:X}}}" + (f"-\\x{{{codes[j]:X}}}" if j > k else ""))
+        k = j + 1
+    return "[" + "".join(out) + "]"
+
+
+def _compatibility() -> tuple[tuple[str, str], dict[str, str], str, str]:
+    """By Unicode's own tables: letters whose norm is one other character, those whose norm is several, their pattern class, and that of
+    combining marks. Hangul syllables, which only come apart into their letters, stay as they are.
+    """
+    single, several, marks = [], {}, []
+    planes = [*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2FA20)]
+    for code in planes:
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(code)
+            continue
+        exact = norm_py(c)
+        if exact == c or len(c.lower()) != 1 or c in "äöüß":
+            continue
+        if len(exact) == 1 and code < 0x10000:
+            single.append((c, exact))
+        elif exact:
+            several[c] = exact
+    return ("".join(x for x, _ in single), "".join(x for _, x in single)), several, _ranges(sorted(map(ord, several))), _ranges(marks)
+
+
+(SINGLE, SINGLE_BASES), SEVERAL, SEVERAL_CLASS, MARKS = _compatibility()
+#: Those of them that are another form of the same letter: full-width, raised, ...
+FORMS = "".join(c for c, b in zip(SINGLE, SINGLE_BASES) if unicodedata.normalize("NFKC", c).lower() == b)
+FORM_BASES = "".join(b for c, b in zip(SINGLE, SINGLE_BASES) if c in FORMS)
+
+
 def _ascii_fast(text: Column, rest: Callable[[Column], Column]) -> Column:
     """Lower-cased text; only texts with letters beyond ASCII take the slow steps of rest."""
     low = F.lower(text)
@@ -51,32 +98,24 @@ def fold(text: Column) -> Column:
 
 
 def norm(text: Column) -> Column:
-    """Lower-cased, umlauts written out, other diacritics dropped (ä is ae, é is e)."""
+    """Compatibility forms resolved, lower-cased, umlauts written out, other diacritics dropped (ä is ae, é is e, ﬁ is fi)."""
 
     def written(t: Column) -> Column:
-        for umlaut, letters in (*UMLAUTS, *DECOMPOSED):
+        t = F.translate(t, FORMS, FORM_BASES)  # first, as marks may follow
+        for umlaut, letters in (*UMLAUTS, *DECOMPOSED, ("…", "...")):
             t = F.replace(t, F.lit(umlaut), F.lit(letters))
-        return F.regexp_replace(F.translate(t, ACCENTED, BASES), r"\p{Mn}+", "")
+        return F.regexp_replace(F.translate(t, SINGLE, SINGLE_BASES), MARKS, "")
 
-    return _ascii_fast(text, written)
+    def resolved(t: Column) -> Column:
+        # the few texts with a letter that becomes several, letter by letter
+        table = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
+        each = F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.array_join(each, "")
 
+    def beyond_ascii(t: Column) -> Column:
+        return F.when(t.rlike(SEVERAL_CLASS), written(resolved(t))).otherwise(written(t))
 
-def norm_py(text: str) -> str:
-    """The exact definition of norm, with Unicode's compatibility forms."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    for umlaut, letters in UMLAUTS:
-        text = text.replace(umlaut, letters)
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-def norm_exact(text: Column) -> Column:
-    """norm with all of Unicode (ligatures, full-width letters, ...); Arrow batches."""
-
-    @F.pandas_udf(StringType())
-    def exact(texts: pd.Series) -> pd.Series:
-        return texts.map(norm_py, na_action="ignore")
-
-    return exact(text)
+    return _ascii_fast(text, beyond_ascii)
 
 
 def words(text: Column) -> Column:
@@ -111,8 +150,26 @@ def _strip(text: Column, chars: str) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+def _composed() -> list[tuple[str, str, str]]:
+    """Latin letters with the marks of European languages, and what they are as one character, by Unicode's own tables."""
+    out = []
+    for mark in map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328)):
+        for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+            joined = unicodedata.normalize("NFC", letter + mark)
+            if len(joined) == 1:
+                out.append((letter, mark, joined))
+    return out
+
+
+COMPOSED = _composed()
+
+
 def safe_filename(name: Column, max_len: int = 120) -> Column:
     """A title as a file name; 'Dokument' if nothing is left."""
+    table = F.create_map(*[F.lit(x) for letter, mark, joined in COMPOSED for x in (letter + mark, joined)])
+    parts = F.regexp_extract_all(name, F.lit(r"(?s)([A-Za-z][\x{300}-\x{328}]|.)"), F.lit(1))
+    composed = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    name = F.when(name.rlike(r"[A-Za-z][\x{300}-\x{328}]"), composed).otherwise(name)
     out = F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]', " ")
     out = _strip(F.regexp_replace(out, r"\s+", " "), " .")
     out = F.rtrim(F.substring(out, 1, max_len), F.lit(" ."))
@@ -177,15 +234,17 @@ def strip_html(source: Column) -> Column:
 
 
 def html_to_text(source: Column) -> Column:
-    """Text of HTML with the frequent entities; html_to_text_exact knows all of them."""
-    out = strip_html(source)
+    """Text of HTML. Entities other than the frequent ones are resolved in Arrow batches, for the texts that have any."""
+    plain = strip_html(source)
+    others = F.regexp_replace(plain, "|".join(e for e, _ in ENTITIES), "").rlike("&[#A-Za-z]")
+    out = plain
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.coalesce(unescape(F.when(others, plain)), out)
 
 
 def unescape(text: Column) -> Column:
-    """All HTML entities as their characters; Arrow batches."""
+    """All HTML entities as their characters; Arrow batches, nulls cost nothing."""
 
     @F.pandas_udf(StringType())
     def chars(texts: pd.Series) -> pd.Series:
@@ -194,10 +253,6 @@ def unescape(text: Column) -> Column:
     return chars(text)
 
 
-def html_to_text_exact(source: Column) -> Column:
-    return unescape(strip_html(source))
-
-
 def prefix_terms(query: str) -> list[str]:
     """Words of a search query, as the index compares them; each is a prefix to be met."""
     out, word = [], ""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -16,15 +16,12 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first().y
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="aäÄößÜéÈñŁ \t\n-_.,;#/1²", max_size=30), min_size=1, max_size=20))
+@settings(max_examples=5, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="aäÄößÜéÈñŁ \t\n-_.,;#/1²ﬁＡ½…Ⅷ\u0308\u00a0", max_size=30), min_size=1, max_size=20))
 def test_norm_is_exact_on_latin_text(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
-    for r in df.select("x", T.norm(F.col("x")).alias("n"), T.norm_exact(F.col("x")).alias("e"), T.tokens(F.col("x")).alias("t")).collect():
-        assert r.e == T.norm_py(r.x)
-        if "²" not in r.x:
-            assert r.n == r.e
-            assert r.t == re.findall(r"[^\W_]+", r.e)
+    for r in df.select("x", T.norm(F.col("x")).alias("n"), T.tokens(F.col("x")).alias("t")).collect():
+        assert r.n == T.norm_py(r.x) and r.t == re.findall(r"[^\W_]+", r.n)
 
 
 @pytest.mark.parametrize("name,want", [("a/b:c*", "a b c"), (" . ", "Dokument"), ("x" * 200, "x" * 120), ("Ä  b\tc.", "Ä b c"), ("", "Dokument")])
@@ -54,7 +51,7 @@ def test_folder_names(spark):
 def test_html_and_cleaning(spark):
     source = "<head><title>x</title></head><style>p{}</style><p>Hallo &amp; Tsch&uuml;ss</p><script>1</script>"
     assert one(spark, source, lambda c: T.clean_text(T.html_to_text(c))) == "Hallo & Tschüss"
-    assert one(spark, "&hearts;<br>b", lambda c: T.clean_text(T.html_to_text_exact(c))) == "♥\nb"
+    assert one(spark, "&hearts;<br>b", lambda c: T.clean_text(T.html_to_text(c))) == "♥\nb"
     assert one(spark, "a \t b\r\n\n\n\n c\x00 ", T.clean_text) == "a b\n\nc"
 
 
