@@ -41,10 +41,28 @@ def weights(counts: DataFrame, key: str, df: DataFrame, n_docs: DataFrame, count
 
 
 def cosine(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """a_key, b_key, cos for the pairs that share a term. a, b: key, term, w; b is the side with few keys."""
-    norms_a = a.groupBy(a_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    norms_b = b.groupBy(b_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
-    dots = a.select(a_key, "term", F.col("w").alias("wa")).join(b.select(b_key, "term", F.col("w").alias("wb")), "term")
-    dots = dots.groupBy(a_key, b_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    joined = dots.join(norms_a, a_key).join(norms_b, b_key)
-    return joined.select(a_key, b_key, F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)).alias("cos"))
+    """a_key, b_key, cos for the pairs that share a term. a, b: key, term, w; b is the side with few keys, say folders.
+
+    b's unit vectors are gathered per term (a row has at most as many entries as b has keys), so that a meets them, and its own
+    norm, in one join on the term and one grouping: a's rows are shuffled twice, whatever the number of keys.
+    """
+    norms = b.groupBy(b_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
+    unit = b.join(norms, b_key).select("term", F.struct(F.col(b_key).alias("key"), F.try_divide("w", "nb").alias("u")).alias("e"))
+    by_term = unit.groupBy("term").agg(F.collect_list("e").alias("others"))
+    return _dots(a.join(by_term, "term", "left"), a_key, b_key)
+
+
+def _dots(rows: DataFrame, a_key: str, b_key: str) -> DataFrame:
+    """a_key, b_key, cos of rows a_key, w, others (array of key, u)."""
+    kind = f"array<struct<key:{_key_type(rows)},u:double>>"
+    own = F.array(F.struct(F.lit(None).alias("key"), F.col("w").alias("u"))).cast(kind)
+    pairs = rows.select(a_key, "w", F.inline(F.concat(own, F.coalesce("others", F.array().cast(kind)))))
+    sums = pairs.groupBy(a_key, "key").agg(F.sum(F.col("w") * F.col("u")).alias("s"))
+    # per key of a: its square, and a product per key of b
+    per = sums.groupBy(a_key).agg(F.max(F.when(F.col("key").isNull(), F.col("s"))).alias("square"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "s"))).alias("all"))
+    each = per.select(a_key, F.sqrt("square").alias("na"), F.inline("all"))
+    return each.select(a_key, F.col("key").alias(b_key), F.coalesce(F.try_divide("s", "na"), F.lit(0.0)).alias("cos"))
+
+
+def _key_type(rows: DataFrame) -> str:
+    return rows.schema["others"].dataType.elementType["key"].dataType.simpleString()
