@@ -44,30 +44,32 @@ def closure(folders: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
-    """id, path ('A / B / C'), depth."""
+    """id, path ('A / B / C'), depth; down to MAX_DEPTH levels. Folders on a cycle have no path."""
     return folders.sparkSession.sql(
         """
         WITH RECURSIVE p(id, path, depth) AS (
           SELECT id, name, 1 FROM {folders} WHERE parent_id IS NULL
           UNION ALL
-          SELECT f.id, concat(p.path, ' / ', f.name), p.depth + 1 FROM p JOIN {folders} f ON f.parent_id = p.id)
+          SELECT f.id, concat(p.path, ' / ', f.name), p.depth + 1 FROM p JOIN {folders} f ON f.parent_id = p.id WHERE p.depth < {max_depth})
         SELECT id, path, depth FROM p
         """,
         folders=folders.select("id", "parent_id", "name"),
+        max_depth=MAX_DEPTH,
     )
 
 
 def subtree(folders: DataFrame, root: int) -> DataFrame:
-    """id of root and everything below."""
+    """id of root and everything below; cycles end at MAX_DEPTH."""
     return folders.sparkSession.sql(
         """
-        WITH RECURSIVE sub(id) AS (
-          SELECT id FROM {folders} WHERE id = {root}
-          UNION ALL SELECT f.id FROM sub JOIN {folders} f ON f.parent_id = sub.id)
-        SELECT id FROM sub
+        WITH RECURSIVE sub(id, depth) AS (
+          SELECT id, 1 FROM {folders} WHERE id = {root}
+          UNION ALL SELECT f.id, sub.depth + 1 FROM sub JOIN {folders} f ON f.parent_id = sub.id WHERE sub.depth < {max_depth})
+        SELECT DISTINCT id FROM sub
         """,
         folders=folders.select("id", "parent_id"),
         root=int(root),
+        max_depth=MAX_DEPTH,
     )
 
 
@@ -139,6 +141,20 @@ def parse_outline(outlines: DataFrame, key: str = "outline_id", text: str = "tex
     return unique.select(key, "no", "path", F.size("path").cast("long").alias("depth"), F.when(bad, F.lit("Schrägstrich im Ordnernamen")).alias("error"))
 
 
+def outline_errors(outlines: DataFrame, key: str = "outline_id", text: str = "text") -> DataFrame:
+    """key, error of the outlines that are refused: those without a folder, and those with a slash in a name."""
+    parsed = parse_outline(outlines, key, text)
+    per = outlines.select(key).join(parsed.groupBy(key).agg(F.max("error").alias("error"), F.count(F.lit(1)).alias("n")), key, "left")
+    # fixed value: the message
+    return per.select(key, F.when(F.col("n").isNull(), "Die Liste enthält keine Ordner").otherwise(F.col("error")).alias("error")).where("error IS NOT NULL")
+
+
+def removal_order(diff: DataFrame) -> DataFrame:
+    """path, depth of the folders that an outline_diff removes, the deepest first: children before their parents."""
+    gone = diff.where("action = 'remove'").select("path", F.size(F.split("path", " / ")).alias("depth"))
+    return gone.orderBy(F.desc("depth"), "path")
+
+
 def outline_diff(wanted: DataFrame, folders: DataFrame, filed: DataFrame, remove_empty: bool = True) -> DataFrame:
     """path, action (create, exists, keep_nonempty, remove, keep), documents, keywords of a wanted structure.
 

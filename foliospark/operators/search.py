@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -16,11 +16,32 @@ def field_tokens(fields: tuple[str, ...] = FIELDS) -> Column:
     return F.flatten(F.array(*[T.words(T.fold(F.coalesce(F.col(f), F.lit("")))) for f in fields]))
 
 
-def build_postings(docs: DataFrame, doc: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """term, doc, tf, doc_len: the inverted index, to be written bucketed or sorted by term."""
+def build_index(docs: DataFrame, doc: str = "id", fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths): term, doc, tf; and doc, doc_len of all documents, those without a word too."""
     rows = docs.select(doc, field_tokens(fields).alias("tokens"))
-    terms = rows.select(doc, F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    return terms.groupBy(doc, "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    postings = rows.select(doc, F.explode("tokens").alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return postings.select("term", doc, "tf"), rows.select(doc, F.size("tokens").alias("doc_len"))
+
+
+def write_index(index: tuple[DataFrame, DataFrame], folder: str) -> None:
+    """Stores an index; postings in ranges of terms, sorted, so that a prefix reads few row groups."""
+    postings, lengths = index
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+
+
+def upserted_index(index: tuple[DataFrame, DataFrame], changed: DataFrame, doc: str = "id", fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
+    """The index with the documents changed deleted and put in anew; the others' rows are not computed again."""
+    return tuple(o.join(changed.select(doc), doc, "left_anti").unionByName(n) for o, n in zip(index, build_index(changed, doc, fields)))
+
+
+def dropped_from_index(index: tuple[DataFrame, DataFrame], gone: DataFrame, doc: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The index without the documents gone (doc)."""
+    return tuple(o.join(gone.select(doc), doc, "left_anti") for o in index)
 
 
 def _rank(hits: DataFrame, stats: DataFrame, n_terms: int) -> DataFrame:
@@ -62,17 +83,22 @@ def bm25(docs: DataFrame, query: str, doc: str = "id", fields: tuple[str, ...] =
     return _rank(hits, stats, len(prefixes)).select(*docs.columns, "score")
 
 
-def bm25_indexed(postings: DataFrame, query: str, doc: str = "id") -> DataFrame:
-    """doc, score out of a stored index: only the postings of the prefixes are read for hits."""
+def bm25_indexed(index: tuple[DataFrame, DataFrame], query: str, doc: str = "id") -> DataFrame:
+    """doc, score out of an index: postings are read once, those of the prefixes only. A query without a word lists all documents, unranked."""
+    postings, lengths = index
     prefixes = T.prefix_terms(query)
-    lengths = postings.select(doc, "doc_len").distinct()
-    hits = None
+    if not prefixes:
+        return lengths.select(doc, F.lit(0.0).alias("score"))
+    starts = [F.startswith("term", F.lit(p)) for p in prefixes]
+    wanted = starts[0]
+    for s in starts[1:]:
+        wanted = wanted | s
+    # hits of each prefix per document, in one grouping
+    per = postings.where(wanted).groupBy(doc).agg(*[F.coalesce(F.sum(F.when(s, F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, s in enumerate(starts)])
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avglen"))
-    for i, p in enumerate(prefixes):
-        one = postings.where(F.startswith("term", F.lit(p))).groupBy(doc).agg(F.sum("tf").alias(f"f{i}"), F.max("doc_len").alias(f"l{i}"))
-        stats = stats.crossJoin(one.agg(F.count(F.lit(1)).alias(f"n{i}")))
-        hits = one if hits is None else hits.join(one, doc)
-    return _rank(hits.withColumn("len", F.col("l0")), stats, len(prefixes)).select(doc, "score")
+    stats = stats.crossJoin(per.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(prefixes))]))  # one row each
+    hits = per.where(" AND ".join(f"f{i} > 0" for i in range(len(prefixes)))).join(lengths.withColumnRenamed("doc_len", "len"), doc)
+    return _rank(hits, stats, len(prefixes)).select(doc, "score")
 
 
 def recent_first(docs: DataFrame, limit: int = LIST_LIMIT, ranked: bool = False) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.functions.reference_data import FOLDER_KEYWORDS, STOPWORDS, TOO_GENERIC
+from foliospark.functions.reference_data import STOPWORDS
 from foliospark.operators import catalog, classify, export, folders, metadata, search, terms
 from foliospark.plans import bindings as B
+from foliospark.plans.store import stored
 from foliospark.sources import files as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,11 @@ df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tf GROUP BY term)"""
 FILED = "filed AS (SELECT id AS doc_id, folder_id FROM cat WHERE status = 'abgelegt')"
 
 
+def rows_of(spark: SparkSession, names: str, *rows: tuple) -> DataFrame:
+    """A small table of constants."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v) for v in r]) for r in rows])).alias(*names.split()))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "documents")
 
@@ -58,9 +64,14 @@ def filed(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------- text
 
 
-@query(f"SELECT doc_id, {NORM.format('text')} AS norm_text FROM documents")
+#: Letters beyond plain Latin, and what they are by the definition.
+ODD_TEXTS = ((-1, "ﬁnanz ＡＢ №1", "finanz ab no1"), (-2, "Straße ½ … ²", "strasse 1⁄2 ... 2"), (-3, "U\u0308bung cafe\u0301 𝐀Ⅷ", "uebung cafe aviii"), (-4, "ﬂÄÖ\u00a0ĳ", "flaeoe ij"))
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS norm_text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(n)})' for i, _, n in ODD_TEXTS)})")
 def normalise_text(spark, sf):
-    return documents(spark, sf).select("doc_id", T.norm(F.col("text")).alias("norm_text"))
+    odd = rows_of(spark, "doc_id text", *[(i, t) for i, t, _ in ODD_TEXTS]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return documents(spark, sf).select("doc_id", "text").unionByName(odd).select("doc_id", T.norm(F.col("text")).alias("norm_text"))
 
 
 @query(f"SELECT doc_id, array_to_string({WORDS.format(NORM.format('text'))}, ' ') AS tokens FROM documents")
@@ -68,22 +79,25 @@ def tokenise(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, CAST(count(*) FILTER (WHERE {CONTENT}) AS BIGINT) AS n_content, count(DISTINCT term) AS n_terms FROM (SELECT doc_id, unnest({WORDS.format(NORM.format('text'))}) AS term FROM documents) GROUP BY doc_id")
+@query(f"SELECT doc_id, CAST(count(*) FILTER (WHERE {CONTENT}) AS BIGINT) AS n_content, count(DISTINCT term) AS n_terms FROM (SELECT doc_id, unnest({WORDS.format(NORM.format('text'))}) AS term FROM documents UNION ALL SELECT doc_id, NULL FROM documents) GROUP BY doc_id")
 def content_words(spark, sf):
-    rows = documents(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    rows = documents(spark, sf).select("doc_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
     return rows.select("doc_id", F.size(F.filter("t", lambda t: T.is_content_word(t))).cast("long").alias("n_content"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
 HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'),
  '(?is)<style\b.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h\d)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"""
 UNESCAPED = HTML
-for _entity, _char in T.ENTITIES:
+for _entity, _char in (("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     UNESCAPED = f"replace({UNESCAPED}, {quoted(_entity)}, {quoted(_char)})"
+#: Entities of all kinds, and the text that they are.
+ODD_PAGES = ((-1, "<p>a &ndash; b</p>&#8364;&eacute;", " a – b\n€é"), (-2, "&amp;lt; &amp;ndash; &auml;", "&lt; &ndash; ä"), (-3, "&hearts;&#x41;&copy &unknown; &", "♥A© &unknown; &"))
 
 
-@query(f"SELECT page_id, {UNESCAPED} AS text FROM pages")
+@query(f"SELECT page_id, {UNESCAPED} AS text FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(t)})' for i, _, t in ODD_PAGES)})")
 def html_to_text(spark, sf):
-    return B.table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    odd = rows_of(spark, "page_id html", *[(i, h) for i, h, _ in ODD_PAGES]).withColumn("page_id", F.col("page_id").cast("long"))
+    return B.table(spark, sf, "pages").select("page_id", "html").unionByName(odd).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -124,18 +138,25 @@ def folder_name_check(spark, sf):
     return B.folders(spark, sf).select("id", clean.alias("clean"), error.alias("error"))
 
 
-_CASES = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in FOLDER_KEYWORDS.items())
-_FOLDER_NAMES = [*FOLDER_KEYWORDS, "Verträge", "Persönliche Dokumente", "Krankenversicherung", "Vater", "AB", "Musterstraße 12"]
+#: Folder names and the keywords that are suggested for them, written out.
+FOLDER_CASES = (
+    ("Garten", "garten, kleingarten, parzelle, pacht, gartenverein, kleingartenverein"),
+    ("Verträge", "vertrag, arbeitsvertrag, änderungsvertrag, aufhebungsvertrag, vereinbarung, zusatzvereinbarung"),
+    ("HAUSRAT", "hausrat, hausratversicherung"),
+    (" Bank ", "kontoauszug, girokonto, kontostand, überweisung, kreditkarte, depot"),
+    ("Berufsunfähigkeit", "berufsunfähigkeit, berufsunfähigkeitsversicherung, bu-versicherung"),
+    ("Pflanzenpass", "pflanzenpass, plant passport"),
+    ("Vater", ""),
+    ("Sonstiges", ""),
+    ("AB", ""),
+    ("AU", "arbeitsunfähigkeit, arbeitsunfähigkeitsbescheinigung, au-bescheinigung, krankschreibung, krankmeldung"),
+    ("Musterstraße 12", "musterstraße 12"),
+)
 
 
-@query(
-    f"WITH k(key, words) AS (VALUES {_CASES}), n AS (SELECT n_name AS name FROM nation UNION ALL SELECT unnest([{', '.join(quoted(n) for n in _FOLDER_NAMES)}])), "
-    f"m AS (SELECT name, trim({NORM.format('name')}) AS key FROM n) SELECT m.name, CASE WHEN k.words IS NOT NULL THEN k.words WHEN m.key IN ({', '.join(quoted(g) for g in TOO_GENERIC)}) OR length(m.key) < 3 THEN '' ELSE lower(m.name) END AS keywords "
-    "FROM m LEFT JOIN k ON m.key = k.key"
-)
+@query(f"SELECT n_name AS name, lower(n_name) AS keywords FROM nation UNION ALL SELECT * FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(k)})' for n, k in FOLDER_CASES)})")
 def suggest_folder_keywords(spark, sf):
-    more = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in _FOLDER_NAMES])).alias("name"))
-    names = B.table(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(more)
+    names = B.table(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(rows_of(spark, "name", *[(n,) for n, _ in FOLDER_CASES]))
     return names.select("name", T.suggest_folder_keywords(F.col("name")).alias("keywords"))
 
 
@@ -200,6 +221,35 @@ def tag_counts(spark, sf):
     return catalog.tag_counts(B.document_tags(spark, sf), B.tags(spark, sf))
 
 
+@query(f"WITH {B.TAGS}, c AS (SELECT tag.id, name, count(*) AS count FROM tag JOIN dtag ON tag.id = tag_id GROUP BY tag.id, name) SELECT *, row_number() OVER (ORDER BY count DESC, lower(name)) AS place FROM c ORDER BY count DESC, lower(name) LIMIT 3")
+def top_tags(spark, sf):
+    top = catalog.tag_counts(B.document_tags(spark, sf), B.tags(spark, sf), top=3)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("count"), catalog.nocase(F.col("name")))).cast("long"))  # three rows
+
+
+@query("WITH t AS (SELECT c_custkey AS document_id, 1 + c_custkey % 9 AS n FROM customer) SELECT document_id, array_to_string(list_transform(range(1, least(n, 6) + 1), lambda i: 't' || i), '|') AS tags, CAST(greatest(n - 6, 0) AS INTEGER) AS more FROM t")
+def card_tags(spark, sf):
+    n = (1 + F.col("c_custkey") % 9).cast("int")
+    tagged = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("tags"))
+    out = catalog.card_tags(tagged)
+    return out.select("document_id", F.array_join("tags", "|").alias("tags"), "more")
+
+
+@query(
+    f"WITH {B.TAGS}, want AS (SELECT p_partkey AS document_id, p_brand AS name FROM part UNION ALL SELECT p_partkey, 'de' FROM part WHERE p_partkey % 2 = 0) "
+    "SELECT name, count(document_id) AS documents FROM (SELECT name, document_id FROM dtag JOIN tag ON id = tag_id UNION SELECT name, document_id FROM want UNION SELECT name, NULL FROM tag) GROUP BY name"
+)
+def tag_insert(spark, sf):
+    part, tags, bridge = B.table(spark, sf, "part"), B.tags(spark, sf), B.document_tags(spark, sf)
+    want = part.select(F.col("p_partkey").alias("document_id"), F.col("p_brand").alias("name"))
+    want = want.unionByName(part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("document_id"), F.lit("de").alias("name")))
+    every, pairs = catalog.tag_rows(want, tags, bridge)
+    every = stored(every, "tags")  # ids are given once
+    _, pairs = catalog.tag_rows(want, every, bridge)
+    named = pairs.distinct().join(every, F.col("tag_id") == F.col("id")).select("name", "document_id").unionByName(every.select("name", F.lit(None).cast("long").alias("document_id")))
+    return named.groupBy("name").agg(F.count("document_id").alias("documents"))
+
+
 @query(f"WITH {B.TAGS} SELECT id, name FROM tag WHERE id NOT IN (SELECT tag_id FROM dtag)")
 def orphan_tags(spark, sf):
     return catalog.orphan_tags(B.document_tags(spark, sf), B.tags(spark, sf))
@@ -264,6 +314,161 @@ def patch_documents(spark, sf):
     return catalog.patched(rows, patch).select("id", "error", "amount", "doc_date")
 
 
+@query(f"WITH {B.CATALOG} SELECT id, title, status FROM cat WHERE id = 42")
+def document_by_id(spark, sf):
+    return catalog.by_id(B.catalog(spark, sf), 42).select("id", "title", "status")
+
+
+@query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE coalesce(text, '') = (SELECT coalesce(text, '') FROM documents WHERE doc_id = 7)")
+def document_by_hash(spark, sf):
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    wanted = docs.where("id = 7").first()
+    return catalog.by_hash(docs, wanted["sha256"] if wanted else "")
+
+
+@query(f"WITH {B.CATALOG} SELECT original_name, 'files/' || id AS file_path FROM cat WHERE id = 9")
+def original_file(spark, sf):
+    docs = B.catalog(spark, sf).withColumn("file_path", F.concat(F.lit("files/"), F.col("id").cast("string")))
+    return catalog.original_file(docs, 9)
+
+
+@query("WITH s AS (SELECT 'k' || (event_id % 50) AS key, event_type AS value, event_id AS moment FROM events) SELECT key, arg_max(value, moment) AS value FROM s GROUP BY key")
+def settings_upsert(spark, sf):
+    rows = B.table(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 50).cast("string")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("at"))
+    return catalog.upserted(rows.where("at % 3 = 0"), rows.where("at % 3 <> 0"), "key", "at").select("key", "value")
+
+
+@query("SELECT arg_max(event_type, event_id) AS value FROM events WHERE event_id % 50 = 7")
+def setting_lookup(spark, sf):
+    return catalog.setting(settings_upsert(spark, sf), "k7").select("value")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, 'n' || doc_id AS original_name, sha256(coalesce(text, '')) AS sha256 FROM documents), old AS (SELECT * FROM d WHERE doc_id % 4 = 0), "
+    "new AS (SELECT sha256, min(original_name) AS original_name FROM d WHERE doc_id % 4 <> 0 AND sha256 NOT IN (SELECT sha256 FROM old) GROUP BY sha256) "
+    "SELECT sha256, original_name, false AS fresh, true AS one_id FROM old UNION ALL SELECT sha256, original_name, true, true FROM new"
+)
+def insert_documents(spark, sf):
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("original_name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    old, new = docs.where("id % 4 = 0"), docs.where("id % 4 <> 0").drop("id")
+    top = old.agg(F.max("id").alias("top"))
+    rows = stored(catalog.inserted(old, new), "inserted").crossJoin(F.broadcast(top))  # one row
+    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(ids, "id").select("sha256", "original_name", (F.col("id") > F.col("top")).alias("fresh"), (F.col("n") == 1).alias("one_id"))
+
+
+_GONE = "gone AS (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def _toxic(spark, sf):
+    return B.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+
+
+@query(f"WITH {TF}, {B.CATALOG}, {FILED}, {_GONE} SELECT folder_id, term, CAST(sum(tf) AS BIGINT) AS count FROM tf JOIN filed USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY folder_id, term")
+def deleted_profiles(spark, sf):
+    tf, df = _frequencies(spark, sf)
+    profile = terms.folder_terms(tf, filed(spark, sf).drop("correspondent"))
+    return catalog.unlearned(B.catalog(spark, sf), _toxic(spark, sf), profile, df)[0]
+
+
+@query(f"WITH {TF}, {_GONE} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY term")
+def deleted_frequencies(spark, sf):
+    tf, df = _frequencies(spark, sf)
+    profile = terms.folder_terms(tf, filed(spark, sf).drop("correspondent"))
+    return catalog.unlearned(B.catalog(spark, sf), _toxic(spark, sf), profile, df)[1]
+
+
+@query(f"WITH {B.CATALOG}, {B.TAGS}, {_GONE} SELECT tag.id, name, count(*) AS count FROM tag JOIN dtag ON tag.id = tag_id WHERE document_id NOT IN (SELECT doc_id FROM gone) AND document_id IN (SELECT id FROM cat) GROUP BY tag.id, name")
+def deleted_tags(spark, sf):
+    docs, bridge, tags = catalog.deleted(B.catalog(spark, sf), B.document_tags(spark, sf), B.tags(spark, sf), _toxic(spark, sf))
+    return catalog.tag_counts(bridge.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi"), tags)
+
+
+@query(f"WITH {B.CATALOG}, {_GONE} SELECT id, CASE WHEN id IN (SELECT doc_id FROM gone) THEN 'abgelegt' ELSE status END AS status, CASE WHEN id IN (SELECT doc_id FROM gone) THEN 99 ELSE folder_id END AS folder_id FROM cat")
+def refile_documents(spark, sf):
+    moves = _toxic(spark, sf).withColumn("folder_id", F.lit(99).cast("long"))
+    none = spark.createDataFrame([], "folder_id long, term string, count long")
+    return catalog.refiled(B.catalog(spark, sf), moves, none)[0].select("id", "status", "folder_id")
+
+
+@query(f"WITH {TF}, {B.CATALOG}, {_GONE}, put AS (SELECT id AS doc_id, CASE WHEN id IN (SELECT doc_id FROM gone) THEN 99 ELSE folder_id END AS folder_id FROM cat WHERE status = 'abgelegt' OR id IN (SELECT doc_id FROM gone)) SELECT folder_id, term, CAST(sum(tf) AS BIGINT) AS count FROM tf JOIN put USING (doc_id) GROUP BY folder_id, term")
+def refile_profiles(spark, sf):
+    moves = _toxic(spark, sf).withColumn("folder_id", F.lit(99).cast("long"))
+    profile = terms.folder_terms(_frequencies(spark, sf)[0], filed(spark, sf).drop("correspondent"))
+    return catalog.refiled(B.catalog(spark, sf), moves, profile)[1]
+
+
+#: Titles of five documents in each folder, by id, and the file names that they get: a number goes on until its name is free.
+NUMBERED = (("A (2)", "A (2)"), ("A", "A"), ("A", "A (3)"), ("A (2)", "A (2) (2)"), ("A (2) (2)", "A (2) (2) (2)"), ("B", "B"), ("B", "B (2)"))
+
+
+def _numbered_docs(spark, sf):
+    titles = rows_of(spark, "no title", *[(k, t) for k, (t, _) in enumerate(NUMBERED)])
+    docs = B.table(spark, sf, "nation").crossJoin(F.broadcast(titles))  # seven rows
+    day = F.lit("2025-01-01").cast("date")
+    return docs.select(
+        (F.col("n_nationkey") * 10 + F.col("no")).cast("long").alias("id"), (F.col("n_nationkey") + 100).cast("long").alias("folder_id"), "title", F.lit("x.PDF").alias("original_name"),
+        F.lit("abgelegt").alias("status"), day.alias("doc_date"), day.alias("created_at"),
+    )
+
+
+_NUMBERED_SQL = f"t(no, name) AS (VALUES {', '.join(f'({k}, {quoted(n)})' for k, (_, n) in enumerate(NUMBERED))})"
+
+
+@query(f"WITH {_NUMBERED_SQL} SELECT CAST(n_nationkey * 10 + no AS BIGINT) AS id, r_name || '/' || n_name || '/2025-01-01_' || name || '.pdf' AS path FROM nation JOIN region ON n_regionkey = r_regionkey, t")
+def filing_path_numbers(spark, sf):
+    return catalog.filing_paths(_numbered_docs(spark, sf), B.folders(spark, sf, False))
+
+
+def _renamed(spark, sf):
+    """The folders with one region renamed and one nation moved to the top."""
+    tree = B.folders(spark, sf, False)
+    return tree.withColumns({"name": F.when(F.col("id") == 2, "Neu").otherwise(F.col("name")), "parent_id": F.when(F.col("id") != 103, F.col("parent_id"))})
+
+
+_MOVED = (
+    f"{_NUMBERED_SQL}, m AS (SELECT CAST(n_nationkey * 10 + no AS BIGINT) AS id, r_name || '/' || n_name || '/2025-01-01_' || name || '.pdf' AS old, "
+    "CASE WHEN n_nationkey = 3 THEN '' WHEN n_regionkey = 1 THEN 'Neu/' ELSE r_name || '/' END || n_name || '/2025-01-01_' || name || '.pdf' AS new FROM nation JOIN region ON n_regionkey = r_regionkey, t)"
+)
+
+
+@query(f"WITH {_MOVED} SELECT id, old, new FROM m WHERE old <> new")
+def moved_files(spark, sf):
+    return catalog.moved_files(_numbered_docs(spark, sf), B.folders(spark, sf, False), _renamed(spark, sf))
+
+
+@query(
+    f"WITH {_MOVED}, dirs AS (SELECT DISTINCT string_split(old, '/') AS o, string_split(new, '/') AS n FROM m), "
+    "b AS (SELECT DISTINCT o[1] AS path FROM dirs UNION SELECT o[1] || '/' || o[2] FROM dirs), a AS (SELECT DISTINCT n[1] AS path FROM dirs UNION SELECT n[1] || '/' || n[2] FROM dirs WHERE len(n) > 2) "
+    "SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM b WHERE path NOT IN (SELECT path FROM a)"
+)
+def emptied_directories(spark, sf):
+    docs = _numbered_docs(spark, sf)
+    old, new = (catalog.filing_paths(docs, f(spark, sf)).select("path") for f in (lambda s, d: B.folders(s, d, False), _renamed))
+    return catalog.emptied_directories(old, new)
+
+
+@query(
+    f"WITH RECURSIVE {B.CATALOG}, {B.folders_sql()}, {B.PATHS}, {B.TAGS}, tg AS (SELECT document_id, count(*) AS n FROM dtag GROUP BY document_id) "
+    "SELECT cat.id, title, status, path AS folder_path, coalesce(tg.n, 0) AS n_tags, CASE WHEN cat.id % 2 = 0 AND path IS NOT NULL THEN path END AS suggested, false AS has_text FROM cat LEFT JOIN path ON path.id = folder_id LEFT JOIN tg ON tg.document_id = cat.id"
+)
+def document_json(spark, sf):
+    docs, tree = B.catalog(spark, sf), B.folders(spark, sf)
+    old = docs.where("id % 2 = 0").select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("pos"), "folder_id", F.lit("alt").alias("path"), F.lit(0.5).alias("score"))
+    out = catalog.as_json(docs, tree, catalog.tags_of(B.document_tags(spark, sf), B.tags(spark, sf)), old)
+    field = lambda p: F.get_json_object("json", p)
+    return out.select(
+        "id", field("$.title").alias("title"), field("$.status").alias("status"), field("$.folder_path").alias("folder_path"), F.coalesce(F.json_array_length(field("$.tags")), F.lit(0)).cast("long").alias("n_tags"),
+        field("$.suggestion[0].path").alias("suggested"), field("$.text").isNotNull().alias("has_text"),
+    )
+
+
+@query("WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS pos, round(1.0 / (l_linenumber + l_orderkey % 4), 3) AS score FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM s) SELECT doc_id, pos, score FROM k WHERE k = 1 OR score >= 0.15")
+def offered_suggestions(spark, sf):
+    rows = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("pos"), F.round(1.0 / (F.col("l_linenumber") + F.col("l_orderkey") % 4), 3).alias("score"))
+    return catalog.offered(rows).select("doc_id", "pos", "score")
+
+
 # --------------------------------------------------------------------------- folders
 
 
@@ -340,9 +545,47 @@ def outline_diff(spark, sf):
     return folders.outline_diff(wanted, B.folders(spark, sf), filed(spark, sf))
 
 
+_DIFF_SQL = SQL["outline_diff"]
+
+
+@query(f"SELECT path, CAST(len(string_split(path, ' / ')) AS INTEGER) AS depth FROM ({_DIFF_SQL}) WHERE action = 'remove'")
+def outline_removals(spark, sf):
+    return folders.removal_order(outline_diff(spark, sf))
+
+
+@query("SELECT r_name AS outline_id, 'Schrägstrich im Ordnernamen' AS error FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT r_name, 'Die Liste enthält keine Ordner' FROM region WHERE r_regionkey % 2 = 1 AND r_regionkey > 1")
+def outline_errors(spark, sf):
+    k = F.col("r_regionkey")
+    text = F.when(k % 2 == 0, "* A/B\n* C").when(k > 1, " \n\n").otherwise("* A\n  * B")
+    return folders.outline_errors(B.table(spark, sf, "region").select(F.col("r_name").alias("outline_id"), text.alias("text")))
+
+
+@query("SELECT n_regionkey + 1 AS parent_id, upper(n_name) AS name FROM nation WHERE n_nationkey % 2 = 0")
+def folder_name_conflicts(spark, sf):
+    n = F.col("n_nationkey")
+    wanted = B.table(spark, sf, "nation").select((F.col("n_regionkey") + 1).cast("long").alias("parent_id"), F.when(n % 2 == 0, F.upper("n_name")).otherwise(F.concat("n_name", F.lit("x"))).alias("name"))
+    return folders.name_conflicts(B.folders(spark, sf, False), wanted)
+
+
+@query(f"WITH {B.CATALOG} SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS name FROM region WHERE false UNION ALL SELECT * FROM (VALUES (1, 'Finanzen'), (2, 'Bank & Konten'), (3, 'Steuern'), (4, 'Kredite'), (5, 'Rechnungen & Einkäufe'), (6, 'Versicherungen'), (7, 'Wohnen'), (8, 'Miete & Nebenkosten'), (9, 'Energie'), (10, 'Internet & Telefon'), (11, 'Gesundheit'), (12, 'Arbeit'), (13, 'Gehaltsabrechnungen'), (14, 'Verträge & Zeugnisse'), (15, 'Fahrzeuge'), (16, 'Behörden & Ausweise'), (17, 'Verträge & Abos'), (18, 'Bildung'), (19, 'Sonstiges'))")
+def seed_folders(spark, sf):
+    return folders.seed_folders(spark).select("id", "name")
+
+
 # --------------------------------------------------------------------------- terms
 
 
+@query(f"WITH {TF}, {_GONE} SELECT term, count(*) AS df FROM tf WHERE doc_id % 3 <> 0 OR doc_id IN (SELECT doc_id FROM gone) GROUP BY term")
+def term_df_delta(spark, sf):
+    tf = stored(terms.term_frequency(documents(spark, sf)), "tf")
+    toxic = _toxic(spark, sf).withColumnRenamed("id", "doc_id")
+    have = tf.where("doc_id % 3 <> 0")
+    later = tf.where("doc_id % 3 = 0")
+    old = terms.document_frequency(have.unionByName(later))
+    lost = terms.document_frequency(later.join(toxic, "doc_id", "left_anti")).withColumn("df", -F.col("df"))
+    return terms.apply_delta(old, lost, ("term",), "df")
+
+
 @query(f"WITH {TF} SELECT doc_id, term, tf FROM tf")
 def term_frequency(spark, sf):
     return terms.term_frequency(documents(spark, sf))
@@ -382,41 +625,54 @@ cosine AS (SELECT dv.doc_id, fv.folder_id, sum(dv.w * fv.w) / (any_value(dn.nw)
 
 @query(f"WITH {TF}, {B.CATALOG}, {FILED}, {COSINE} SELECT doc_id, folder_id, round(cos, 6) AS cos FROM cosine")
 def tfidf_cosine(spark, sf):
-    out = classify.learned_scores(documents(spark, sf), filed(spark, sf).drop("correspondent"))
+    tf, df = _frequencies(spark, sf)
+    out = classify.learned_scores(documents(spark, sf), filed(spark, sf).drop("correspondent"), tf=tf, df=df)
     return out.select("doc_id", "folder_id", F.round("cos", 6).alias("cos"))
 
 
-SURFACE = f"""sw AS (SELECT doc_id, unnest({WORDS.format('text')}) AS form FROM documents),
-st AS (SELECT doc_id, form, {NORM.format('form')} AS term, regexp_matches(form, '^\\p{{Lu}}') AS up FROM sw),
-ks AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (WHERE up) AS cap FROM st WHERE length(term) >= 4 AND {CONTENT} GROUP BY doc_id, term),
-nc AS (SELECT doc_id, count(*) FILTER (WHERE cap > 0) AS capitals FROM ks GROUP BY doc_id)"""
+SURFACE = f"""sa AS (SELECT doc_id, {WORDS.format('text')} AS fs FROM documents),
+sw AS (SELECT doc_id, unnest(fs) AS form, unnest(range(len(fs))) AS place FROM sa),
+st AS (SELECT doc_id, form, place, {NORM.format('form')} AS term, regexp_matches(form, '^\\p{{Lu}}') AS up FROM sw),
+sc AS (SELECT * FROM st WHERE length(term) >= 4 AND {CONTENT}),
+sf AS (SELECT doc_id, term, form, count(*) AS n, min(place) AS place, bool_or(up) AND NOT (form = upper(form) AND form <> lower(form)) AS titled FROM sc GROUP BY doc_id, term, form),
+best AS (SELECT doc_id, term, form FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY titled DESC, n DESC, place) AS k FROM sf) WHERE k = 1),
+ks AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (WHERE up) AS cap FROM sc GROUP BY doc_id, term),
+nc AS (SELECT doc_id, count(*) FILTER (WHERE cap > 0) AS capitals FROM ks GROUP BY doc_id),
+kn AS (SELECT count(*) AS n FROM documents),
+scored AS (SELECT ks.doc_id, ks.term, ks.tf, ks.cap,
+  CASE WHEN form = upper(form) AND form <> lower(form) AND length(form) > 4 THEN upper(left(form, 1)) || lower(substr(form, 2)) ELSE form END AS form,
+  (1 + ln(ks.tf)) * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) * (0.4 + ks.cap / ks.tf) * least(1.0, length(ks.term) / 6) AS score
+  FROM ks JOIN nc USING (doc_id) JOIN best ON best.doc_id = ks.doc_id AND best.term = ks.term LEFT JOIN df ON df.term = ks.term, kn WHERE cap > 0 OR capitals < 8)"""
 
 
-@query(
-    f"WITH {TF}, {SURFACE}, n AS (SELECT count(*) AS n FROM documents) SELECT ks.doc_id, ks.term, ks.tf, ks.cap, "
-    "round((1 + ln(ks.tf)) * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) * (0.4 + ks.cap / ks.tf) * least(1.0, length(ks.term) / 6), 6) AS score "
-    "FROM ks JOIN nc USING (doc_id) LEFT JOIN df ON df.term = ks.term, n WHERE cap > 0 OR capitals < 8"
-)
+@query(f"WITH {TF}, {SURFACE} SELECT doc_id, term, tf, cap, form, round(score, 6) AS score FROM scored")
 def keyword_scores(spark, sf):
     docs = documents(spark, sf)
     df = terms.document_frequency(terms.term_frequency(docs))
     out = metadata.keyword_scores(docs, df, docs.agg(F.count(F.lit(1)).alias("n")))
-    return out.select("doc_id", "term", "tf", "cap", F.round("score", 6).alias("score"))
+    return out.select("doc_id", "term", "tf", "cap", "form", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {TF}, {SURFACE}, o AS (SELECT *, {NORM.format('form')} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term DESC) AS k FROM scored), "
+    "pick(doc_id, k, keys, forms) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM o UNION ALL "
+    "SELECT p.doc_id, o.k, CASE WHEN len(list_filter(p.keys, lambda x: contains(x, o.term) OR contains(o.term, x))) > 0 THEN p.keys ELSE list_append(p.keys, o.key) END, "
+    "CASE WHEN len(list_filter(p.keys, lambda x: contains(x, o.term) OR contains(o.term, x))) > 0 THEN p.forms ELSE list_append(p.forms, o.form) END "
+    "FROM pick p JOIN o ON o.doc_id = p.doc_id AND o.k = p.k + 1 WHERE len(p.keys) < 8) "
+    "SELECT doc_id, arg_max(array_to_string(forms, ', '), k) AS keywords FROM pick GROUP BY doc_id"
+)
 def document_keywords(spark, sf):
     docs = documents(spark, sf)
     df = terms.document_frequency(terms.term_frequency(docs))
-    out = metadata.pick_keywords(metadata.keyword_scores(docs, df, docs.agg(F.count(F.lit(1)).alias("n"))))
-    return out.select("doc_id", F.array_join("keywords", ", ").alias("keywords"))
+    scored = metadata.keyword_scores(docs, df, docs.agg(F.count(F.lit(1)).alias("n"))).withColumn("score", F.round("score", 9))
+    return metadata.pick_keywords(scored).select("doc_id", F.array_join("keywords", ", ").alias("keywords"))
 
 
 # --------------------------------------------------------------------------- search
 
 FOLDED = "strip_accents(lower({0}))"
 _FIELDS = " || ' ' || ".join(FOLDED.format(f"coalesce({c}, '')") for c in search.FIELDS)
-_PREFIX = T.prefix_terms(SEARCH)
+_PREFIX = ["thre", "tion"]
 
 
 @query(
@@ -434,11 +690,35 @@ def bm25_search(spark, sf):
 
 @query(SQL["bm25_search"].replace("ORDER BY score, day DESC, id DESC LIMIT 200", ""))
 def bm25_indexed(spark, sf):
-    hits = search.bm25_indexed(search.build_postings(B.catalog(spark, sf)), SEARCH)
+    hits = search.bm25_indexed(search.build_index(B.catalog(spark, sf)), SEARCH)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents")
+def bm25_without_words(spark, sf):
+    return search.bm25_indexed(search.build_index(B.catalog(spark, sf)), ' " ( ')
+
+
+@query(SQL["bm25_indexed"].replace("FROM cat)", "FROM (SELECT * REPLACE (CASE WHEN tags = 'de' THEN 'three thre' WHEN tags = 'fr' THEN '' ELSE text END AS text) FROM cat WHERE tags <> 'es')), ", 1).replace(")), , h AS", ")), h AS"))
+def index_upsert(spark, sf):
+    docs = B.catalog(spark, sf)
+    changed = docs.where("tags IN ('de', 'fr')").withColumn("text", F.when(F.col("tags") == "de", "three thre").otherwise(""))
+    index = search.upserted_index(search.build_index(docs), changed)
+    index = search.dropped_from_index(index, docs.where("tags = 'es'"))
+    return search.bm25_indexed(index, SEARCH).select("id", F.round("score", 6).alias("score"))
+
+
+_HIT = f"len(list_filter({WORDS.format(FOLDED.format('x'))}, lambda y: starts_with(y, 'thre') OR starts_with(y, 'tion'))) > 0"
+
+
+@query(
+    f"WITH hits AS ({SQL['bm25_search']}), w AS (SELECT d.doc_id AS id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents d JOIN hits ON hits.id = d.doc_id), "
+    f"f AS (SELECT id, ws, list_transform(ws, lambda x: CASE WHEN {_HIT} THEN 1 ELSE 0 END) AS fs FROM w), "
+    "n AS (SELECT id, ws, fs, list_transform(range(0, greatest(len(ws) - 14, 0) + 1), lambda s: list_sum(fs[s + 1 : s + 14])) AS ns FROM f), "
+    "b AS (SELECT id, ws, fs, list_position(ns, list_max(ns)) - 1 AS place FROM n), "
+    "m AS (SELECT id, place, len(ws) AS n, list_transform(range(place + 1, least(place + 14, len(ws)) + 1), lambda i: CASE WHEN fs[i] = 1 THEN chr(1) || ws[i] || chr(2) ELSE ws[i] END) AS shown FROM b) "
+    "SELECT id, CASE WHEN place > 0 THEN '…' ELSE '' END || array_to_string(shown, ' ') || CASE WHEN place + 14 < n THEN '…' ELSE '' END AS snippet FROM m"
+)
 def search_snippets(spark, sf):
     hits = search.recent_first(search.bm25(B.catalog(spark, sf), SEARCH), ranked=True)
     return hits.select("id", search.snippet(F.col("text"), SEARCH).alias("snippet"))
@@ -512,13 +792,33 @@ def suggest_title(spark, sf):
     return B.letters(spark, sf).select("doc_id", metadata.suggest_title(metadata.doc_type(t), metadata.header_sender(t), keys, F.lit("ohne Titel")).alias("title"))
 
 
-@query()
+_IBAN_SQL = SQL["document_iban"]
+
+
+@query(
+    f"WITH {B.LETTERS}, k(p, kind) AS (VALUES {', '.join(f'({quoted(p)}, {quoted(k)})' for p, _, k in B.LETTER_KINDS)}) SELECT letter.doc_id, kind AS doc_type, CAST(o_orderdate AS DATE) AS doc_date, "
+    "CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice, 2) ELSE 9999999.0 END AS amount, i.iban, 'Stadtwerke ' || n_name AS correspondent, kind || ' Stadtwerke ' || n_name AS suggested_title, true AS has_keywords "
+    f"FROM letter LEFT JOIN k ON o_orderpriority = p JOIN ({_IBAN_SQL}) i ON i.doc_id = letter.doc_id"
+)
 def letter_analysis(spark, sf):
     rows = B.letters(spark, sf).select("doc_id", "text", F.lit("ohne Titel").alias("title"))
     df = terms.document_frequency(terms.term_frequency(rows))
     names = B.table(spark, sf, "nation").select(F.concat(F.lit("Stadtwerke "), "n_name").alias("name"))
     out = metadata.analyse(rows, df, rows.agg(F.count(F.lit(1)).alias("n")), names, AS_OF_YEAR)
-    return out.select("doc_id", "doc_type", "doc_date", "amount", "iban", "correspondent", F.array_join("keywords", ", ").alias("keywords"), "suggested_title")
+    return out.select("doc_id", "doc_type", "doc_date", "amount", "iban", "correspondent", "suggested_title", (F.size("keywords") > 0).alias("has_keywords"))
+
+
+#: How months are written in letters, by their number.
+MONTH_NAMES = ("Januar", "Feb", "März", "Apr", "Mai", "Juni", "JULI", "August", "Sept", "Oktober", "Nov", "Dezember")
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS doc_date FROM orders")
+def worded_dates(spark, sf):
+    orders = B.table(spark, sf, "orders")
+    month = F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month("o_orderdate") - 1)
+    text = F.concat(F.lit("Berlin, den "), F.date_format("o_orderdate", "d"), F.lit(". "), month, F.lit(" "), F.date_format("o_orderdate", "yyyy"), F.lit("\nBezug: Schreiben 01.01.1990"))
+    text = F.when(F.col("o_orderkey") % 5 != 0, text).otherwise("Frist 31.02.2025, 3. Monat 2025, 99.99.99")
+    return orders.select(F.col("o_orderkey").alias("doc_id"), metadata.document_date(text, AS_OF_YEAR).alias("doc_date"))
 
 
 # --------------------------------------------------------------------------- classification
@@ -556,14 +856,21 @@ def sender_votes(spark, sf):
     return classify.sender_votes(docs, filed(spark, sf)).withColumn("sender", F.round("sender", 6))
 
 
+def _frequencies(spark, sf):
+    """tf and df of all documents, computed once and read by each step."""
+    tf = stored(terms.term_frequency(documents(spark, sf)), "tf")
+    return tf, stored(terms.document_frequency(tf), "df")
+
+
 def _scores(spark, sf):
     tree = B.folders(spark, sf, False)
-    docs, at = documents(spark, sf), filed(spark, sf)
-    hits = classify.rule_hits(docs, tree)
+    docs, at = documents(spark, sf), stored(filed(spark, sf), "filed")
+    hits = stored(classify.rule_hits(docs, tree), "hits")
     rules = classify.inherited_weights(classify.own_weights(hits, tree), tree)
-    learned = classify.learned_scores(docs, at.drop("correspondent"))
+    tf, df = _frequencies(spark, sf)
+    learned = classify.learned_scores(docs, at.drop("correspondent"), tf=tf, df=df)
     senders = classify.sender_votes(B.catalog(spark, sf).select(F.col("id").alias("doc_id"), "correspondent"), at)
-    return classify.folder_scores(rules, learned, senders), hits, tree, docs
+    return stored(classify.folder_scores(rules, learned, senders), "scores"), hits, tree, docs
 
 
 _SCORES = f"""{TF}, {B.CATALOG}, {FILED}, {COSINE}, {B.folders_sql(False)}, {_KEYS}, {_OWN}, {B.CLOSURE}, {_INHERITED}, {_SENDERS},
@@ -591,7 +898,19 @@ def folder_suggestions(spark, sf):
     return classify.suggestions(scores, tree, docs)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SCORES}, "
+    "raw2 AS (SELECT id AS folder_id, string_split(replace(replace(keywords, ';', ','), chr(10), ','), ',') AS ks FROM fold), "
+    "pos AS (SELECT folder_id, trim(k) AS keyword, min(i) AS pos FROM (SELECT folder_id, unnest(list_filter(list_transform(ks, lambda x: trim(x)), lambda x: x <> '')) AS k, unnest(range(len(list_filter(ks, lambda x: trim(x) <> '')))) AS i FROM raw2) GROUP BY 1, 2), "
+    "offer AS (SELECT desc_id AS folder_id, depth, pos, keys.keyword, phrase FROM keys JOIN pos ON pos.folder_id = keys.folder_id AND pos.keyword = keys.keyword JOIN up ON up.anc = keys.folder_id WHERE phrase <> ''), "
+    "best AS (SELECT doc_id, offer.folder_id, keyword, max(hits) AS n, min(depth * 1000 + pos) AS place FROM hits JOIN offer USING (phrase) GROUP BY 1, 2, 3), "
+    "top AS (SELECT doc_id, folder_id, string_agg(keyword, ', ' ORDER BY n DESC, place) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, folder_id ORDER BY n DESC, place) AS k FROM best) WHERE k <= 5 GROUP BY 1, 2) "
+    "SELECT sc.doc_id, sc.folder_id, array_to_string(list_filter([CASE WHEN words IS NOT NULL THEN 'Begriffe: ' || words END, "
+    "CASE WHEN l >= 0.05 THEN 'ähnlich zu ' || fc.n || CASE WHEN fc.n = 1 THEN ' abgelegten Dokument' ELSE ' abgelegten Dokumenten' END END, "
+    "CASE WHEN votes IS NOT NULL THEN votes || '× von ' || send.correspondent || ' hier abgelegt' END], lambda x: x IS NOT NULL), '; ') AS reasons "
+    "FROM sc LEFT JOIN top ON top.doc_id = sc.doc_id AND top.folder_id = sc.folder_id LEFT JOIN learned ON learned.doc_id = sc.doc_id AND learned.folder_id = sc.folder_id LEFT JOIN fc ON fc.folder_id = sc.folder_id "
+    "LEFT JOIN (SELECT s.*, cat.correspondent FROM send s JOIN cat ON cat.id = s.doc_id) send ON send.doc_id = sc.doc_id AND send.folder_id = sc.folder_id WHERE score > 0"
+)
 def suggestion_reasons(spark, sf):
     scores, hits, tree, _ = _scores(spark, sf)
     senders = B.catalog(spark, sf).select(F.col("id").alias("doc_id"), "correspondent")
@@ -599,9 +918,55 @@ def suggestion_reasons(spark, sf):
     return out.select("doc_id", "folder_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+_OUT_SCORES = (
+    _SCORES.replace("learned AS (SELECT doc_id, folder_id, least(1.0, 1.5 * cos) * n / (n + 1) AS l FROM cosine JOIN fc USING (folder_id))",
+                    "own2 AS (SELECT doc_id, folder_id, 1 AS me FROM filed), learned AS (SELECT c.doc_id, c.folder_id, least(1.0, 1.5 * cos) * (n - coalesce(me, 0)) / (n - coalesce(me, 0) + 1) AS l "
+                    "FROM cosine c JOIN fc ON fc.folder_id = c.folder_id LEFT JOIN own2 ON own2.doc_id = c.doc_id AND own2.folder_id = c.folder_id WHERE n > coalesce(me, 0))")
+    .replace("send AS (SELECT cat.id AS doc_id, sv.folder_id, votes, 0.95 * votes / (total + 0.25) AS sender FROM cat JOIN sv ON cat.correspondent = sv.correspondent JOIN stot ON stot.correspondent = sv.correspondent)",
+             "send AS (SELECT cat.id AS doc_id, sv.folder_id, votes - CASE WHEN status = 'abgelegt' AND cat.folder_id = sv.folder_id THEN 1 ELSE 0 END AS votes, "
+             "0.95 * (votes - CASE WHEN status = 'abgelegt' AND cat.folder_id = sv.folder_id THEN 1 ELSE 0 END) / (total - CASE WHEN status = 'abgelegt' THEN 1 ELSE 0 END + 0.25) AS sender "
+             "FROM cat JOIN sv ON cat.correspondent = sv.correspondent JOIN stot ON stot.correspondent = sv.correspondent WHERE votes > CASE WHEN status = 'abgelegt' AND cat.folder_id = sv.folder_id THEN 1 ELSE 0 END)")
+)
+
+
+@query(SQL["folder_suggestions"].replace(_SCORES, _OUT_SCORES))
+def resuggestions(spark, sf):
+    tf, df = _frequencies(spark, sf)
+    docs = B.catalog(spark, sf).select(F.col("id").alias("doc_id"), "text", "correspondent")
+    return classify.resuggest(docs, B.folders(spark, sf, False), stored(filed(spark, sf), "filed"), tf=tf, df=df)
+
+
 # --------------------------------------------------------------------------- export
 
 
+@query("WITH p AS (SELECT CAST(100 + n_nationkey AS BIGINT) AS folder_id, r_name || ' / ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey + 1, r_name FROM region UNION ALL SELECT 99, 'Sonstiges') SELECT folder_id, path, replace(path, ' / ', '/') || '/{{ created_year }}-{{ created_month }}-{{ created_day }}_{{ title }}' AS template FROM p")
+def storage_paths(spark, sf):
+    return export.storage_paths(B.folders(spark, sf, False))
+
+
+#: Task reports of an archive's versions, the document that they name, and what they say if they failed.
+TASKS = (
+    ('{"related_document": "12", "result": "ok"}', 12, "ok"),
+    ('{"related_document": null, "related_document_ids": [7, 8]}', 7, "Verarbeitung im Archiv fehlgeschlagen"),
+    ('{"result_data": {"document_id": 5}}', 5, '{"document_id":5}'),
+    ('{"related_document": "", "result": "", "result_message": "Duplicate"}', None, "Duplicate"),
+    ("{}", None, "Verarbeitung im Archiv fehlgeschlagen"),
+)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {d or chr(78) + chr(85) + chr(76) * 2}::BIGINT, {quoted(e)})' for k, (_, d, e) in enumerate(TASKS))}) t(no, document, error)")
+def task_reports(spark, sf):
+    rows = rows_of(spark, "no task", *[(k, t) for k, (t, _, _) in enumerate(TASKS)])
+    return rows.select("no", export.task_document(F.col("task")).alias("document"), export.task_error(F.col("task")).alias("error"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 5 > 2) AS done, count(*) FILTER (WHERE event_id % 5 IN (0, 1)) AS skipped, count(*) FILTER (WHERE event_id % 5 = 2) AS errors FROM events")
+def export_outcomes(spark, sf):
+    k = F.col("event_id") % 5
+    error = F.when(k == 0, "x: DUPLICATE of 3").when(k == 1, "Duplikat").when(k == 2, "Zeit abgelaufen")
+    return export.outcomes(B.table(spark, sf, "events").select(F.col("event_id").alias("local_id"), F.lit(1).alias("remote_id"), error.alias("error")))
+
+
 @query(
     r"WITH RECURSIVE " + B.folders_sql(False) + r", w AS (SELECT id, list_filter(list_transform(string_split(replace(replace(keywords, ';', ','), chr(10), ','), ','), lambda k: lower(trim(k))), lambda k: k <> '') AS ks FROM fold), "
     r"r AS (SELECT id, array_to_string(list_transform(ks, lambda k: replace(replace(replace(replace(replace(k, 'ä', '(?:ä|ae)'), 'ö', '(?:ö|oe)'), 'ü', '(?:ü|ue)'), 'ß', '(?:ß|ss)'), ' ', '\s+')), '|') AS r FROM w) "
@@ -643,33 +1008,88 @@ def export_dimension(spark, sf):
 @query(
     f"WITH {B.CATALOG} SELECT id, title, CAST(coalesce(doc_date, created_at) AS VARCHAR) AS created, CASE WHEN folder_id % 2 = 0 THEN folder_id + 5000 END AS correspondent_id, "
     "CASE doc_type WHEN 'Rechnung' THEN 1::BIGINT WHEN 'Vertrag' THEN 2 END AS document_type_id, CASE WHEN status = 'abgelegt' AND folder_id < 115 THEN folder_id * 10 END AS storage_path_id, "
-    f"status = 'eingang' AS inbox, {_NOTE} AS note FROM cat"
+    f"CASE WHEN size > 2000 THEN tags || '|6' ELSE tags END AS tag_names, status = 'eingang' AS inbox, {_NOTE} AS note FROM cat"
 )
 def export_payload(spark, sf):
     docs = B.catalog(spark, sf)
     types = spark.range(1).select(F.inline(F.array(F.struct(F.lit("Rechnung"), F.lit(1).cast("long")), F.struct(F.lit("Vertrag"), F.lit(2).cast("long")))).alias("name", "remote_id"))
     numbers = spark.range(100, 115).select(F.col("id").alias("folder_id"), (F.col("id") * 10).alias("remote_id"))
     senders = docs.where("folder_id % 2 = 0").select(F.col("correspondent").alias("name"), (F.col("folder_id") + 5000).alias("remote_id")).distinct()
-    return export.payload(docs, numbers, types, senders)
+    tagged = catalog.tags_of(B.document_tags(spark, sf), B.tags(spark, sf))
+    remote = rows_of(spark, "name remote_id", ("en", 1), ("de", 2), ("fr", 3), ("es", 4), ("Lang", 6)).withColumn("remote_id", F.col("remote_id").cast("long"))
+    out = export.payload(docs, numbers, types, senders, tagged, remote)
+    back = F.create_map(*[F.lit(x) for kv in ((1, "en"), (2, "de"), (3, "fr"), (4, "es"), (6, "6")) for x in kv])
+    return out.withColumn("tag_names", F.array_join(F.transform("tag_ids", lambda t: F.element_at(back, t.cast("int"))), "|")).drop("tag_ids")
 
 
 # --------------------------------------------------------------------------- files
 
 
-@query()
+@query(
+    "WITH c AS (" + SQL["clean_text"].replace("FROM pages)", "FROM pages WHERE page_id % 4 = 0)") + "), raw AS (" + SQL["clean_text"].replace(UNESCAPED, "html") + ") "
+    "SELECT 'p' || p.page_id || ['.html', '.txt', '.xyz', '.docx'][p.page_id % 4 + 1] AS path, CASE p.page_id % 4 WHEN 0 THEN replace(c.text, chr(160), ' ') WHEN 1 THEN raw.text ELSE '' END AS text, "
+    "CAST(1 AS INTEGER) AS pages, CASE WHEN p.page_id % 4 < 2 THEN 'text' ELSE 'none' END AS method, "
+    "CASE p.page_id % 4 WHEN 2 THEN 'Dateityp .xyz wird nicht unterstützt' WHEN 3 THEN 'Text konnte nicht gelesen werden: File is not a zip file' ELSE '' END AS warnings "
+    "FROM pages p LEFT JOIN c ON c.page_id = p.page_id JOIN raw ON raw.page_id = p.page_id"
+)
 def extract_files(spark, sf):
-    """Pages as HTML files and their rendering as other kinds, through the file parsers."""
+    """Pages as HTML files and under other endings, through the file parsers."""
     pages = B.table(spark, sf, "pages")
     kinds = F.array(*[F.lit(k) for k in (".html", ".txt", ".xyz", ".docx")])
     name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(kinds, (F.col("page_id") % 4).cast("int")))
     rows = sources.extract_files(pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")))
-    return rows.select("path", "text", "pages", "method", F.array_join("warnings", "; ").alias("warnings"))
+    return rows.select("path", F.replace("text", F.lit("\u00a0"), F.lit(" ")).alias("text"), "pages", "method", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(
+    "WITH f AS (SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || CASE WHEN doc_id % 7 = 0 THEN '.exe' WHEN doc_id % 7 = 1 THEN '.TXT' ELSE '.md' END AS path, doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), "
+    "known AS (SELECT sha256 FROM f WHERE doc_id % 10 = 3), first AS (SELECT sha256, min(path) AS path FROM f WHERE doc_id % 7 <> 0 GROUP BY sha256) "
+    "SELECT f.path, CASE WHEN doc_id % 7 = 0 THEN 'Dateityp .exe wird nicht unterstützt' WHEN f.sha256 IN (SELECT sha256 FROM known) OR first.path <> f.path THEN 'bereits vorhanden' END AS error FROM f LEFT JOIN first ON first.sha256 = f.sha256"
+)
+def import_gate(spark, sf):
+    k = F.col("doc_id") % 7
+    name = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.when(k == 0, ".exe").when(k == 1, ".TXT").otherwise(".md"))
+    files = documents(spark, sf).select("doc_id", name.alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    accepted, rejected = sources.gate(files.select("path", "sha256"), files.where("doc_id % 10 = 3").select("sha256"))
+    return accepted.select("path", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("path", "error"))
+
+
+#: Remote files, what they are called here, and why not.
+REMOTE = (
+    ("Brief.v2.gdoc", "application/vnd.google-apps.document", "Brief.v2.pdf", None),
+    ("Tabelle", "application/vnd.google-apps.spreadsheet", "Tabelle.pdf", None),
+    ("Formular", "application/vnd.google-apps.form", None, "Formular: Google-Format application/vnd.google-apps.form kann nicht importiert werden"),
+    ("Scan.PDF", "application/pdf", "Scan.PDF", None),
+)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else quoted(v) for v in (r[0], r[2], r[3])) + ')' for r in REMOTE)}) t(remote, name, error)")
+def remote_names(spark, sf):
+    name, error = sources.remote_name(F.col("remote"), F.col("kind"))
+    return rows_of(spark, "remote kind", *[r[:2] for r in REMOTE]).select("remote", name.alias("name"), error.alias("error"))
+
+
+@query(
+    "SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN n_chars // 2 ELSE n_chars END AS stored_size, doc_id % 3 = 0 AND n_chars // 2 < n_chars AS replace FROM documents"
+)
+def recompressed_sizes(spark, sf):
+    docs = documents(spark, sf)
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    present = docs.select(path.alias("path"), F.col("n_chars").alias("size"))
+    # packed when a third had its present size, a third another one; the rest was not packed
+    packed = docs.where("doc_id % 3 <> 2").select(path.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(F.col("n_chars") + 1).alias("size"), F.floor(F.col("n_chars") / 2).alias("stored_size"))
+    return sources.stored_sizes(present, packed)
 
 
-@query()
+@query("SELECT c_custkey AS id, CAST((c_custkey % 150 + 2 + 59) // 60 AS BIGINT) AS pages, c_name AS title, true AS whole FROM customer")
 def text_pdf(spark, sf):
-    rows = sources.text_pdfs(B.catalog(spark, sf).select("id", "title", "text"))
-    return rows.select("id", F.octet_length("pdf").cast("long").alias("size"), F.sha2("pdf", 256).alias("sha256"))
+    """A PDF per customer with as many lines as its key says: its pages, its first line and its frame."""
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 150).cast("int")), lambda i: F.concat(F.lit("Zeile "), i.cast("string"))), "\n")
+    docs = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 150 > 0, lines).otherwise(" ").alias("text"))
+    pdf = F.decode("pdf", "ISO-8859-1")
+    rows = sources.text_pdfs(docs)
+    first = F.decode(F.unhex(F.regexp_extract(pdf, "<([0-9a-f]+)>Tj", 1)), "ISO-8859-1")
+    return rows.select("id", F.regexp_count(pdf, F.lit("/Type/Page/")).cast("long").alias("pages"), first.alias("title"), (F.startswith(pdf, F.lit("%PDF-1.4")) & F.endswith(pdf, F.lit("%%EOF\n"))).alias("whole"))
 
 
 @query("SELECT conv_id AS scan_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS pages FROM conversations GROUP BY conv_id")

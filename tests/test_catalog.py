@@ -84,15 +84,23 @@ def test_learning_and_unlearning_is_identity(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, profile.collect()))
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     rows = [(1, "Rechnung", "Stadtwerke", "", INVOICE), (2, "Brief", "Dr. Beispiel", "arzt", "Physiotherapie in der Straße"), (3, "leer", None, None, None)]
     docs = spark.createDataFrame(rows, "id long, title string, correspondent string, tags string, text string")
     ids = lambda q: [r.id for r in search.bm25(docs, q).collect()]
     assert ids("zählerst") == [1] and ids("ZAHLERST") == [1] and ids("zaehlerst") == []
     assert ids("physiotherapie straß") == [2] and ids("strasse") == [] and ids('" (') == [1, 2, 3]
     plain = {r.id: round(r.score, 9) for r in search.bm25(docs, "st").collect()}
-    stored = {r.id: round(r.score, 9) for r in search.bm25_indexed(search.build_postings(docs), "st").collect()}
-    assert plain.keys() == {1, 2} and {k: stored[k] for k in plain} != {} and stored.keys() == plain.keys()
+    index = search.build_index(docs)
+    assert plain.keys() == {1, 2} and {r.id: round(r.score, 9) for r in search.bm25_indexed(index, "st").collect()} == plain
+    assert {r.id: r.score for r in search.bm25_indexed(index, "").collect()} == {1: 0, 2: 0, 3: 0}
+    search.write_index(index, str(tmp_path))
+    index = search.read_index(spark, str(tmp_path))
+    wordless = docs.unionByName(spark.createDataFrame([(4, None, None, None, "..."), (5, "Post", None, None, "Stuhl Stift")], docs.schema))
+    want = {r.id: round(r.score, 9) for r in search.bm25(wordless, "st").collect()}
+    grown = search.upserted_index(index, wordless.where("id > 2"))
+    assert {r.id: round(r.score, 9) for r in search.bm25_indexed(grown, "st").collect()} == want
+    assert {r.id for r in search.bm25_indexed(search.dropped_from_index(grown, docs.where("id = 1")), "st").collect()} == {2, 5}
     shown = docs.where("id = 1").select(search.snippet(F.col("text"), "zähler", mark=("[", "]"))).first()[0]
     assert "[Zählerstand]" in shown
 
