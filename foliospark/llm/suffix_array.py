@@ -6,10 +6,10 @@ removed. All strings are judged on the input; matches never cross documents.
 One suffix array over all suffixes of a corpus costs many times its size in disk and sorting. So the corpus is first cut down to where
 a match can be. Each window of LENGTH bytes picks the smallest of the hashes of its SEED-byte substrings (the last, if
 several are), its anchor: equal windows have their anchors at the same place. An anchor whose hash occurs once in the corpus
-has no window with a match. The others' surroundings, all windows they can be the anchor of, are segments; equal segments around the
-same anchor hash are counted, and one of them stands for all; where an anchor hash has one kind of segment only, all its windows are
-in all copies, and there is nothing to sort. The other segments are dealt to shards by anchor hash, so
-windows that match meet in one shard. There the suffixes of all segments are sorted (see induced_sort), and neighbours with
+has no window with a match. The bytes of all windows that have the same anchor are its segment; equal segments around the
+same anchor hash are counted, and one of them stands for all. Where an anchor hash has one kind of segment, the sort would find no neighbours for it, and the count alone
+says what repeats: these are left out of the sort (single=False; with single=True they go through it, and the result is the same). The other segments are dealt to shards by
+anchor hash, so windows that match meet in one shard. There the suffixes of all segments are sorted (see induced_sort), and neighbours with
 LENGTH bytes in common form runs. Two members of a run match if their anchor is at the same distance: then they are two
 places of the corpus, and not one place that lies in two segments. What is found goes back to all documents that have the segment.
 
@@ -19,7 +19,7 @@ dealt by (anchor, distance to the anchor, 128-bit hash of the window), so equal
 
 Defined cases: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows are documents of their own, so each loses what it
 shares with the other; documents are told apart by (doc_id, hash of text); a null doc_id is allowed; empty tables give no rows;
-further columns play no part.
+further columns play no part, whatever their names; very long texts are hashed in pieces of PIECE windows, and held whole by the tasks that read them.
 """
 
 from __future__ import annotations
@@ -53,51 +53,52 @@ def _powers(n: int) -> dict:
     }
 
 
-def _piece_anchors(raw: np.ndarray, low: int, high: int, length: int, seed: int, table: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors (position, hash, hash of the segment) of the windows that start in [low, high)."""
-    begin, end = max(0, low - length), min(len(raw), high + 3 * length)
-    part = raw[begin:end]
+def _piece_anchors(raw: np.ndarray, low: int, high: int, length: int, seed: int, table: dict) -> tuple[np.ndarray, ...]:
+    """Anchors whose first window starts in [low, high): position, hash, hash of the segment, bytes of it before and from the anchor on."""
+    reach = length - seed
+    # windows before and behind, so that no group of windows is cut
+    begin, stop = max(0, low - reach - 1), min(len(raw) - length + 1, high + reach + 1)
+    part = raw[begin : stop + length - 1]
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(table["byte"][part] * table["up"][: len(part)], dtype=np.uint64, out=sums[1:])
 
     def hashed(s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mix64((sums[e] - sums[s]) * table["down"][s])
 
-    first = low - begin
-    many = high - low + length - seed  # seeds of these windows
-    at = np.arange(first, first + many)
+    many = stop - begin + reach  # seeds of these windows
+    at = np.arange(many)
     h = hashed(at, at + seed)
     bits = np.uint64(20)
     back = np.arange(many, 0, -1).astype(np.uint64)  # of equal hashes the last one wins
     v = ((h >> bits) << bits) | back
-    width, done = length - seed + 1, 1
+    width, done = reach + 1, 1
     while done * 2 <= width:
         v = np.minimum(v[:-done], v[done:])
         done *= 2
     if done < width:
         v = np.minimum(v[: len(v) - (width - done)], v[width - done :])
     pick = many - (v & np.uint64((1 << 20) - 1)).astype(np.int64)
-    pick = pick[np.r_[True, pick[1:] != pick[:-1]]]
-    a = pick + first
-    reach = length - seed
-    # a segment holds all windows around its anchor, as far as the document goes
-    s, e = np.maximum(a - reach, 0), np.minimum(a + length, len(part))
+    # windows in a row with the same anchor; their bytes are the segment
+    first = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]])
+    last = np.append(first[1:], len(pick)) - 1
+    mine = (first + begin >= low) & (first + begin < high)
+    s, e = first[mine], last[mine] + length
+    a = pick[s]
     context = mix64(hashed(s, e) ^ mix64((e - s).astype(np.uint64) * np.uint64(1024) + (a - s).astype(np.uint64)))
-    return a + begin, h[pick], context
+    return a + begin, h[a], context, a - s, e - a
 
 
 def anchors(text: bytes, length: int = LENGTH, seed: int = SEED, piece: int = PIECE, table: dict | None = None):
-    """Positions, hashes and segment hashes of the anchors of a text."""
+    """Of the anchors of a text: positions, hashes, hashes of their segments, and the segments' bytes before and from the anchor on."""
     raw = np.frombuffer(text, np.uint8)
     n = len(raw) - length + 1
     if n < 1:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none, none
     table = table or _powers(min(len(raw), piece + 5 * length))
     got = [_piece_anchors(raw, k, min(k + piece, n), length, seed, table) for k in range(0, n, piece)]
-    at, h, context = (np.concatenate(x) for x in zip(*got))
-    at, first = np.unique(at, return_index=True)
-    return at, h[first].view(np.int64), context[first].view(np.int64)
+    at, h, context, lead, tail = (np.concatenate(x) for x in zip(*got))
+    return at, h.view(np.int64), context.view(np.int64), lead, tail
 
 
 def matched(segments: list[bytes], leads: np.ndarray, copies: np.ndarray, length: int = LENGTH, budget: int = BUDGET) -> list[tuple[list[int], list[int]]]:
@@ -170,7 +171,7 @@ def hot_matches(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET, single: bool = False
 ) -> DataFrame:
     """doc_id, text_hash, spans (array of start, end in bytes, unmerged) of the documents that have any."""
 
@@ -178,34 +179,34 @@ def repeated_spans(
         table = _powers(PIECE + 5 * length)
         for batch in batches:
             got = [anchors(t, length, seed, PIECE, table) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            cut = np.r_[0, np.cumsum([len(a) for a, _, _ in got])].astype(np.int32)
+            cut = np.r_[0, np.cumsum([len(g[0]) for g in got])].astype(np.int32)
             flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*got)]
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(kind))) for v, kind in zip(flat, (np.int32, np.int64, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "text_hash", "at", "anchor", "segment"])
+            kinds = (np.int32, np.int64, np.int64, np.int16, np.int16)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(kind))) for v, kind in zip(flat, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "text_hash", "at", "anchor", "segment", "lead", "tail"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
-    table = rows.mapInArrow(find, "doc_id bigint, text_hash bigint, at array<int>, anchor array<bigint>, segment array<bigint>")
+    table = rows.mapInArrow(find, "doc_id bigint, text_hash bigint, at array<int>, anchor array<bigint>, segment array<bigint>, lead array<smallint>, tail array<smallint>")
     passing: list[str] = []
     with recording(passing):
-        flat = stored(table, "anchors").select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "anchor", "segment")))
+        flat = stored(table, "anchors").select("doc_id", "text_hash", F.inline(F.arrays_zip("at", "anchor", "segment", "lead", "tail")))
         often = stored(flat.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     shared = stored(flat.join(often.hint("shuffle_hash"), "anchor"), "shared")
     drop_tables(docs.sparkSession, passing)  # most anchors are not shared
-    kinds = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
+    kinds = shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "at", "lead", "tail")).alias("one"))
     kinds = stored(kinds.select("anchor", "segment", "copies", "one.*"), "segments")
-    reach = length - seed
     # stored, so that Spark can split hot anchors
     counts = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "counts")
     most = max(1, hot_bytes // (2 * length - seed))
-    several, n_hot = counts.where("kinds > 1").agg(F.sum("kinds"), F.sum(F.when(F.col("kinds") > most, F.col("kinds")))).first()
     kinds = stored(kinds.join(counts.hint("shuffle_hash"), "anchor").withColumn("hot", F.col("kinds") > most), "kinds")
-    alone = kinds.where("kinds = 1").select(
-        "anchor", "segment", F.array((-F.least("at", F.lit(reach))).cast("int")).alias("starts"), F.array(F.lit(length)).alias("ends")
-    )  # ends count as far as the document goes
-    kinds = kinds.where("kinds > 1")
-    size = ((several or 0) - (n_hot or 0)) * (2 * length - seed)
-    shards, tasks = max(1, -(-size // shard_bytes)), max(1, -(-size // TASK_BYTES))
-    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies", "hot")).alias("asked"))
+    alone = kinds.where("kinds = 1").select("anchor", "segment", F.array((-F.col("lead")).cast("int")).alias("starts"), F.array(F.col("tail").cast("int")).alias("ends"))
+    if single:
+        alone = alone.where("false")
+    else:
+        kinds = kinds.where("kinds > 1")
+    size, n_hot = kinds.agg(F.sum(F.when(~F.col("hot"), (F.col("lead") + F.col("tail")).cast("long"))), F.count_if("hot")).first()
+    shards, tasks = max(1, -(-(size or 0) // shard_bytes)), max(1, -(-(size or 0) // TASK_BYTES))
+    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies", "hot", "lead", "tail")).alias("asked"))
     asked = asked.hint("shuffle_hash")
 
     def cut_out(batches):
@@ -213,8 +214,7 @@ def repeated_spans(
             out: list[list] = [[], [], [], [], [], []]
             for t, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for w in wanted:
-                    s = max(0, w["at"] - reach)
-                    for col, v in zip(out, (w["anchor"], w["segment"], w["copies"], w["at"] - s, t[s : w["at"] + length], w["hot"])):
+                    for col, v in zip(out, (w["anchor"], w["segment"], w["copies"], w["lead"], t[w["at"] - w["lead"] : w["at"] + w["tail"]], w["hot"])):
                         col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "copies", "lead", "bytes", "hot"])
@@ -259,9 +259,11 @@ def repeated_spans(
     return back.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET, single: bool = False
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (merged, what was removed) and kept (the other bytes)."""
-    spans = repeated_spans(docs, length, seed, shard_bytes, hot_bytes, budget)
+    spans = repeated_spans(docs, length, seed, shard_bytes, hot_bytes, budget, single)
     spans = spans.select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"), "spans").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     joined = rows.join(spans, (rows["text_hash"] == spans["_fs_hash"]) & rows["doc_id"].eqNullSafe(spans["_fs_doc"]), "left")
