@@ -86,6 +86,11 @@ FORMS = "".join(c for c, b in zip(SINGLE, SINGLE_BASES) if unicodedata.normalize
 FORM_BASES = "".join(b for c, b in zip(SINGLE, SINGLE_BASES) if c in FORMS)
 
 
+def _constant_map(pairs: dict[str, str]) -> Column:
+    """A map out of one literal, which the optimizer folds once; no key or value holds the two control characters."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def _ascii_fast(text: Column, rest: Callable[[Column], Column]) -> Column:
     """Lower-cased text; only texts with letters beyond ASCII take the slow steps of rest."""
     low = F.lower(text)
@@ -108,7 +113,7 @@ def norm(text: Column) -> Column:
 
     def resolved(t: Column) -> Column:
         # the few texts with a letter that becomes several, letter by letter
-        table = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
+        table = _constant_map(SEVERAL)
         each = F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(table, c), c))
         return F.array_join(each, "")
 
@@ -166,7 +171,7 @@ COMPOSED = _composed()
 
 def safe_filename(name: Column, max_len: int = 120) -> Column:
     """A title as a file name; 'Dokument' if nothing is left."""
-    table = F.create_map(*[F.lit(x) for letter, mark, joined in COMPOSED for x in (letter + mark, joined)])
+    table = _constant_map({letter + mark: joined for letter, mark, joined in COMPOSED})
     parts = F.regexp_extract_all(name, F.lit(r"(?s)([A-Za-z][\x{300}-\x{328}]|.)"), F.lit(1))
     composed = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     name = F.when(name.rlike(r"[A-Za-z][\x{300}-\x{328}]"), composed).otherwise(name)
@@ -206,7 +211,7 @@ def tag_name(name: Column) -> Column:
 def suggest_folder_keywords(name: Column) -> Column:
     """Keywords for a new folder: from the dictionary, none for generic names, else the name."""
     key = F.trim(norm(name))
-    table = F.create_map(*[F.lit(x) for kv in FOLDER_KEYWORDS.items() for x in kv])
+    table = _constant_map(FOLDER_KEYWORDS)
     own = F.when(key.isin(TOO_GENERIC) | (F.length(key) < 3), F.lit("")).otherwise(F.lower(name))
     return F.coalesce(F.try_element_at(table, key), own)
 
