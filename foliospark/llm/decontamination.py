@@ -5,7 +5,7 @@ holds one shard: its words (sorted by id of first use), how often each occurs, a
 word positions in the shard, list after list. The index knows nothing of any benchmark; it is stored as
 a table in the shared folder and can be asked again. Documents are never shuffled.
 
-Asking: phrases come in blocks of at most BLOCK_BYTES, each sent to all tasks. In a shard a phrase's
+Asking: phrases come in blocks of about BLOCK_BYTES of text, one after another, each sent to all tasks. In a shard a phrase's
 lists are taken rarest first; positions less the word's offset in the phrase are start positions, and
 each further list, offset-adjusted likewise, keeps the starts it shares (exact), or the starts for which
 it has a position within ``slop`` words (proximity). Phrases with a word that the shard lacks end at
@@ -16,7 +16,7 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 
 Defined cases: null and empty texts have no words; an item without words has no window; a null
 item_id's windows hit but count as no item; repeated items count once; repeated documents are judged
-each; empty tables give no hits or no rows; further columns play no part.
+each; a text longer than SHARD_BYTES is a shard of its own, indexed whole; empty tables give no hits or no rows; further columns play no part, whatever their names, and drop_leaks gives them back as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from foliospark.llm.common import WORD_BYTES, small, stored, thrifty
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 INDEX_SCHEMA = (
     "doc_id array<bigint>, n_words array<bigint>, words binary, word_rows array<int>, postings binary"
@@ -207,14 +207,18 @@ def matches(index: DataFrame, phrases: dict[tuple, set], slop: int = 0) -> DataF
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Lists of (item_id, text), each of about block_bytes: the benchmark in blocks, one in memory at a time."""
+    """The number of blocks, and the blocks: lists of (item_id, text), each of about block_bytes, one in memory at a time."""
     text = F.coalesce("text", F.lit(""))
     whole = benchmark.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-whole // block_bytes))
-    rows = benchmark.select("item_id", "text")
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    rows = benchmark.select("item_id", "text").distinct()
+
+    def each():
+        for k in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            yield [(r["item_id"], r["text"]) for r in part.collect()]
+
+    return n, each()
 
 
 def find_leaks(
@@ -222,16 +226,16 @@ def find_leaks(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, spans (array of start, end in words), items (array of item ids)."""
     index = build_index(docs, shard_bytes)
-    found = [matches(index, windows_of(block, window), slop) for block in _blocks(benchmark, block_bytes)]
     pair = F.arrays_zip("starts", "ends")
-    if len(found) == 1:
-        return found[0].select("shard", "row", "doc_id", "n_words", pair.alias("spans"), "items")
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
-    rows = union.withColumn("spans", pair).groupBy("shard", "row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
+    n, blocks = _blocks(benchmark, block_bytes)
+    if n == 1:
+        found = matches(index, windows_of(next(blocks), window), slop)
+        return found.select("shard", "row", "doc_id", "n_words", pair.alias("spans"), "items")
+    union = None
+    for block in blocks:  # what a block found is written before the next one is read
+        found = stored(matches(index, windows_of(block, window), slop).where(F.size("starts") > 0).select("shard", "row", pair.alias("spans"), "items"), "hits")
+        union = found if union is None else union.unionByName(found)
+    rows = union.groupBy("shard", "row").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )  # a row per block each
@@ -247,7 +251,9 @@ def find_leaks(
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return rows.withColumn("spans", merged)
+    every = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("row", "d")).select("shard", "row", "d.doc_id", "d.n_words")
+    found = every.join(rows.withColumn("spans", merged), ["shard", "row"], "left")
+    return found.select("shard", "row", "doc_id", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -225,6 +225,34 @@ def test_near_dedup_matches_brute_force(spark):
     assert sorted(sorted(g, key=str) for g in got.values()) == brute_classes(rows)
 
 
+def test_near_dedup_recall_of_all_links(spark):
+    """Every pair of sf0.01 that is similar enough, found through shared shingles, against the classes."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    bags = {d: bag(t) for d, t in rows}
+    having = defaultdict(list)
+    for d, b in bags.items():
+        for shingle in b:
+            having[shingle].append(d)
+    pairs = {(a, b) for ids in having.values() for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    size = {d: sum(b.values()) for d, b in bags.items()}
+    links = {(a, b) for a, b in pairs if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) and jaccard(bags[a], bags[b]) >= 0.8}
+    class_of = {r.doc_id: r.class_id for r in near_dedup.op3_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    kept = sum(class_of[a] == class_of[b] for a, b in links)
+    print(f"{kept} of {len(links)} links are within a class")
+    assert len(links) > 50 and kept == len(links)
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {d: find(d) for d in root} == class_of  # and no class holds more than the links say
+
+
 def test_near_dedup_awkward_rows(docs, empty):
     out = Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in near_dedup.near_duplicates(docs).collect())
     one = [(1, 1, 3, True), (2, 1, 3, False), (9, 1, 3, False), (7, 7, 2, True), (8, 7, 2, False), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 2, True), (6, 6, 2, False), (None, None, 1, True), (9, 9, 1, True)]
