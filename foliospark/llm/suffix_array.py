@@ -7,9 +7,9 @@ One suffix array over all suffixes of a corpus costs many times its size in disk
 a match can be. Each window of LENGTH bytes picks the smallest of the hashes of its SEED-byte substrings (the last, if
 several are), its anchor: equal windows have their anchors at the same place. An anchor whose hash occurs once in the corpus
 has no window with a match. The bytes of all windows that have the same anchor are its segment; equal segments around the
-same anchor hash are counted, and one of them stands for all. Where an anchor hash has one kind of segment, the sort would find no neighbours for it, and the count alone
-says what repeats: these are left out of the sort (single=False; with single=True they go through it, and the result is the same). The other segments are dealt to shards by
-anchor hash, so windows that match meet in one shard. There the suffixes of all segments are sorted (see induced_sort), and neighbours with
+same anchor hash are counted, and one of them stands for all. Segments are dealt to shards by
+anchor hash, so windows that match meet in one shard. Anchors with one kind of segment have matches in its copies alone; their segments go to the sort as well, those that follow one
+another in a document joined, as no other segment has to meet them. There the suffixes of all segments are sorted (see induced_sort), and neighbours with
 LENGTH bytes in common form runs. Two members of a run match if their anchor is at the same distance: then they are two
 places of the corpus, and not one place that lies in two segments. What is found goes back to all documents that have the segment.
 
@@ -125,7 +125,7 @@ def matched(segments: list[bytes], leads: np.ndarray, copies: np.ndarray, length
         return [([], []) for _ in segments]
     run = np.r_[0, np.cumsum(~long_common(raw, order, length))]
     distance = leads[owner[order]] - inside[order]
-    key = run * (length + 1) + distance
+    key = run * (int(leads.max()) + 1) + distance
     kinds, which, many = np.unique(key, return_inverse=True, return_counts=True)
     twice = (many[which] > 1) | (copies[owner[order]] > 1)
     hit = np.sort(order[twice])
@@ -171,7 +171,7 @@ def hot_matches(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET, single: bool = False
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET
 ) -> DataFrame:
     """doc_id, text_hash, spans (array of start, end in bytes, unmerged) of the documents that have any."""
 
@@ -199,71 +199,80 @@ def repeated_spans(
     counts = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "counts")
     most = max(1, hot_bytes // (2 * length - seed))
     kinds = stored(kinds.join(counts.hint("shuffle_hash"), "anchor").withColumn("hot", F.col("kinds") > most), "kinds")
-    alone = kinds.where("kinds = 1").select("anchor", "segment", F.array((-F.col("lead")).cast("int")).alias("starts"), F.array(F.col("tail").cast("int")).alias("ends"))
-    if single:
-        alone = alone.where("false")
-    else:
-        kinds = kinds.where("kinds > 1")
-    size, n_hot = kinds.agg(F.sum(F.when(~F.col("hot"), (F.col("lead") + F.col("tail")).cast("long"))), F.count_if("hot")).first()
+    bytes_ = (F.col("lead") + F.col("tail")).cast("long") - F.when(F.col("kinds") == 1, length).otherwise(0)
+    size, n_hot = kinds.agg(F.sum(F.when(~F.col("hot"), bytes_)), F.count_if("hot")).first()
     shards, tasks = max(1, -(-(size or 0) // shard_bytes)), max(1, -(-(size or 0) // TASK_BYTES))
-    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.collect_list(F.struct("at", "anchor", "segment", "copies", "hot", "lead", "tail")).alias("asked"))
+    wanted = F.struct("at", "anchor", "segment", "copies", "hot", "lead", "tail", (F.col("kinds") == 1).alias("one"))
+    asked = kinds.groupBy(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash")).agg(F.array_sort(F.collect_list(wanted)).alias("asked"))
     asked = asked.hint("shuffle_hash")
+    member = pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("from", pa.int32()), ("lead", pa.int32()), ("size", pa.int32())])
 
     def cut_out(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for t, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                for w in wanted:
-                    for col, v in zip(out, (w["anchor"], w["segment"], w["copies"], w["lead"], t[w["at"] - w["lead"] : w["at"] + w["tail"]], w["hot"])):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "copies", "lead", "bytes", "hot"])
+                group: list[dict] = []
+                for w in [*wanted, None]:
+                    follows = group and w and w["one"] and group[-1]["one"] and w["at"] - w["lead"] == group[-1]["at"] + group[-1]["tail"] - length + 1
+                    if group and not (follows and w["at"] - group[0]["at"] < shard_bytes // 4):
+                        first = group[0]["at"] - group[0]["lead"]
+                        body = t[first : group[-1]["at"] + group[-1]["tail"]]
+                        several = len(group) > 1
+                        members = [{"anchor": g["anchor"], "segment": g["segment"], "from": g["at"] - g["lead"] - first, "lead": g["lead"], "size": g["lead"] + g["tail"]} for g in group]
+                        g = group[0]
+                        # in joined segments, all of whose windows repeat, distances to the first end stand for those to the anchors
+                        for col, v in zip(out, (g["anchor"], g["segment"], g["copies"], len(body) - length if several else g["lead"], body, g["hot"], members)):
+                            col.append(v)
+                        group = []
+                    if w:
+                        group.append(w)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(member))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "copies", "lead", "bytes", "hot", "members"])
 
     named = rows.join(asked, (rows["text_hash"] == asked["_fs_hash"]) & rows["doc_id"].eqNullSafe(asked["_fs_doc"]))
-    parts = named.select("text", "asked").mapInArrow(cut_out, "anchor bigint, segment bigint, copies bigint, lead int, bytes binary, hot boolean")
+    parts = named.select("text", "asked").mapInArrow(cut_out, "anchor bigint, segment bigint, copies bigint, lead int, bytes binary, hot boolean, members array<struct<anchor:bigint,segment:bigint,`from`:int,lead:int,size:int>>")
+    beside = None
     if n_hot:
         parts = stored(parts, "parts")
-        alone = alone.unionByName(hot_matches(parts.where("hot"), length))
+        beside = hot_matches(parts.where("hot"), length)
         parts = parts.where("NOT hot")
     parts = parts.drop("hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions("shard")
 
     def sort_shards(batches):
         def done(rows: list[tuple]):
             spans = matched([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), length, budget)
-            keep = [(r, s) for r, s in zip(rows, spans) if s[0]]
-            lead = [r[3] for r, _ in keep]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r, _ in keep], pa.int64()),
-                    pa.array([r[1] for r, _ in keep], pa.int64()),
-                    pa.array([[x - o for x in s[0]] for (_, s), o in zip(keep, lead)], pa.list_(pa.int32())),
-                    pa.array([[x - o for x in s[1]] for (_, s), o in zip(keep, lead)], pa.list_(pa.int32())),
-                ],
-                names=["anchor", "segment", "starts", "ends"],
-            )
+            keep: list[tuple] = []
+            for r, (starts, ends) in zip(rows, spans):
+                for m in r[5] if starts else ():
+                    low, anchor = m["from"], m["from"] + m["lead"]
+                    cut = [(max(s, low), min(e, low + m["size"])) for s, e in zip(starts, ends)]
+                    cut = [(s - anchor, e - anchor) for s, e in cut if e - s >= length]
+                    if cut:
+                        keep.append((m["anchor"], m["segment"], [s for s, _ in cut], [e for _, e in cut]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], kind) for i, kind in enumerate(kinds)], names=["anchor", "segment", "starts", "ends"])
 
         shard, rows = None, []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[5] != shard and rows:
+                if r[6] != shard and rows:
                     yield done(rows)
                     rows = []
-                shard = r[5]
+                shard = r[6]
                 rows.append(r)
         if rows:
             yield done(rows)
 
     found = stored(parts.mapInArrow(sort_shards, "anchor bigint, segment bigint, starts array<int>, ends array<int>"), "matches")
-    back = shared.join(found.unionByName(alone).hint("shuffle_hash"), ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
+    found = found if beside is None else found.unionByName(beside)
+    back = shared.join(found.hint("shuffle_hash"), ["anchor", "segment"]).select("doc_id", "text_hash", "at", F.inline(F.arrays_zip("starts", "ends")))
     span = F.struct((F.col("at") + F.col("starts")).alias("start"), (F.col("at") + F.col("ends")).alias("end"))
     return back.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("spans"))
 
 
-def drop_repeats(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET, single: bool = False
-) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, budget: int = BUDGET) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (merged, what was removed) and kept (the other bytes)."""
-    spans = repeated_spans(docs, length, seed, shard_bytes, hot_bytes, budget, single)
+    spans = repeated_spans(docs, length, seed, shard_bytes, hot_bytes, budget)
     spans = spans.select(F.col("doc_id").alias("_fs_doc"), F.col("text_hash").alias("_fs_hash"), "spans").hint("shuffle_hash")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     joined = rows.join(spans, (rows["text_hash"] == spans["_fs_hash"]) & rows["doc_id"].eqNullSafe(spans["_fs_doc"]), "left")

@@ -310,9 +310,8 @@ def test_repeats_match_brute_force(spark, length, seed):
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, texts[1], "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(4)
     want = Counter((r[0], *w) for r, w in zip(rows, brute_repeats([r[1] for r in rows], length)))
-    for single in (False, True):  # without and with the sort of anchors with one kind of segment
-        out = suffix_array.drop_repeats(docs, length, seed, 3000, single=single).collect()
-        assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out) == want
+    out = suffix_array.drop_repeats(docs, length, seed, 3000).collect()
+    assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out) == want
 
 
 def test_repeats_of_hot_anchors_match_brute_force(spark):
