@@ -1069,6 +1069,21 @@ def remote_names(spark, sf):
     return rows_of(spark, "remote kind", *[r[:2] for r in REMOTE]).select("remote", name.alias("name"), error.alias("error"))
 
 
+@query(
+    "SELECT 'f' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'a' || event_id || '.pdf' WHEN event_id % 3 = 1 THEN 'a' || event_id || '.txt' END AS file_name, event_id % 3 = 2 AS refused FROM events"
+)
+def remote_listing(spark, sf):
+    """Events as files on pages of a hundred, the first of each page on the page before too."""
+    k = F.col("event_id")
+    kind = F.when(k % 3 == 0, "application/vnd.google-apps.document").when(k % 3 == 1, "text/plain").otherwise("application/vnd.google-apps.form")
+    one = F.struct(F.concat(F.lit("f"), k.cast("string")).alias("id"), F.concat(F.lit("a"), k.cast("string"), F.lit(".txt")).alias("name"), kind.alias("mimeType"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("createdTime"))
+    rows = B.table(spark, sf, "events").select(F.floor(k / 100).alias("no"), one.alias("file"), (k % 100 == 0).alias("first"))
+    rows = rows.select("no", "file").unionByName(rows.where("first").select((F.col("no") - 1).alias("no"), "file"))
+    pages = rows.groupBy("no").agg(F.collect_list("file").alias("files")).select(F.to_json(F.struct("files")).alias("page"))
+    out = sources.remote_listing(pages.unionByName(rows_of(spark, "page", ("kaputt",), ("{}",))))
+    return out.select("id", "file_name", F.col("error").isNotNull().alias("refused"))
+
+
 @query(
     "SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN n_chars // 2 ELSE n_chars END AS stored_size, doc_id % 3 = 0 AND n_chars // 2 < n_chars AS replace FROM documents"
 )
