@@ -7,7 +7,7 @@ by piece, PIECE bytes each, every piece with the dictionary anew, and sizes add
 A logistic curve, fitted on labelled texts that trained no dictionary, turns the feature into a probability.
 
 Bounds (parameters): at most SAMPLE_DOCS labels per class are used, those with the smallest hash of doc_id. Half of their texts train dictionaries, with
-at most SAMPLE_BYTES bytes each, in pieces from all over the text, and these pieces alone are sent to the driver. The other half train the curve: they are
+at most SAMPLE_BYTES bytes each (more where a class has so few that they would not fill a dictionary), in pieces from all over the text, and these pieces alone are sent to the driver. The other half train the curve: they are
 compressed where they are, whole, and their features are sent.
 
 Defined cases: null and empty texts have feature 0 and get the curve's value there; a doc_id with several
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import lowest, spread, thrifty
 
 SAMPLE_DOCS = 1500
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 1000
 DICT_BYTES = 64 << 10
 LEVEL = 3
-PIECE = 1024
+PIECE = 256
 THRESHOLD = 0.3
 
 
@@ -86,14 +86,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
-    """quality, k, pieces of texts (quality, k, text)."""
+    """quality, k, pieces of texts (quality, k, text, most)."""
 
     def cut(batches):
         for batch in batches:
-            got = [spread(t, SAMPLE_BYTES, PIECE) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            got = [spread(t, n, PIECE) for t, n in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.binary()))], names=["quality", "k", "pieces"])
 
-    return texts.select("quality", "k", "text").mapInArrow(thrifty(cut), "quality int, k int, pieces array<binary>")
+    return texts.select("quality", "k", "text", "most").mapInArrow(thrifty(cut), "quality int, k int, pieces array<binary>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> dict:
@@ -103,12 +103,13 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> dict:
     chosen: dict = {0: [], 1: []}
     for r in lowest(named, "quality", n_docs, 2):
         chosen[r["quality"]].append(r["doc_id"])
-    rows = [(d, q, k) for q, ids in chosen.items() for k, d in enumerate(ids)]
+    most = {q: max(SAMPLE_BYTES, DICT_BYTES // max(1, (len(ids) + 1) // 2)) for q, ids in chosen.items()}
+    rows = [(d, q, k, most[q]) for q, ids in chosen.items() for k, d in enumerate(ids)]
     if not rows:
         return {"share": 0.5}
-    few = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int, k int")  # 2 * n_docs short rows at most
+    few = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int, k int, most int")  # 2 * n_docs short rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").where("text <> ''")
-    texts = texts.groupBy("quality", "k").agg(F.min("text").alias("text"))
+    texts = texts.groupBy("quality", "k", "most").agg(F.min("text").alias("text"))
     # every other text of a class, in the order of its hash, trains its dictionary
     got: dict = {0: [], 1: []}
     for r in _pieces(texts.where("k % 2 = 0")).orderBy("quality", "k").toLocalIterator():

@@ -686,13 +686,16 @@ def test_quality_query_matches_a_loop_over_all_rows(spark):
 
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where(~quality.held_out()))
-    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_dict_id=False) for k in ("good", "bad")]
+    dictionaries = [zstandard.ZstdCompressionDict(model[k]) for k in ("good", "bad")]
+    for d in dictionaries:
+        d.precompute_compress(level=3)
+    packers = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False) for d in dictionaries]
     got = {r.doc_id: r for r in quality.op10_quality_classifier(spark, SF).collect()}
     rows = docs.collect()
     assert len(got) == len(rows)
     for r in rows:
         t = (r.text or "").encode()
-        good, bad = (sum(len(p.compress(t[k : k + 1024])) for k in range(0, len(t), 1024)) for p in packers)
+        good, bad = (sum(len(p.compress(t[k : k + quality.PIECE])) for k in range(0, len(t), quality.PIECE)) for p in packers)
         x = (bad - good) / (bad + good) if t else 0.0
         p = 1 / (1 + math.exp(-(model["slope"] * x + model["offset"])))
         mine = got[r.doc_id]
