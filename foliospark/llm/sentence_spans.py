@@ -13,8 +13,8 @@ more than LONG words are cut into pieces that count as sentences: every WINDOW w
 no piece has more than WINDOW words. What stands behind a word belongs to its sentence; what stands before the first word belongs to none and stays.
 Runs are compared by their words, so they may differ in case and punctuation.
 
-What it finds: a passage of more than 3 * LONG + 2 words holds, apart from partial sentences of up to LONG words at its two ends,
-whole sentences or pieces with MIN_WORDS words, so it holds a run and can't be missed; of shorter ones some are.
+What it finds: a repeated passage of more than 2 * LONG + MIN_WORDS = 50 words. What stands around it can change how up to LONG words at either end are
+cut; between them whole sentences or pieces with MIN_WORDS words are left, the same in every copy, and they make a run. Of shorter passages some are missed.
 
 Defined cases: null texts stay null and have no sentences; texts without a word lose nothing; a null doc_id is smaller than any
 number; documents are told apart by (doc_id, hash of text); of fully repeated rows one is the first, the others lose all
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import WORD_BYTES, span_hashes, stored, thrifty
 
 RUN = 2
-MIN_WORDS = 18
-LONG = 16
+MIN_WORDS = 24
+LONG = 13
 WINDOW = 8
 BATCH_BYTES = 1 << 20
 
@@ -272,12 +272,12 @@ sent AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY doc_id ORDER BY
 sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS size, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS k FROM sent),
 named AS (
   SELECT doc_id, size, k, CAST(min(CAST('0x' || substr(md5(w), 1, 12) AS HUGEINT) * 1073741824 - i) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS HUGEINT) AS best
-  FROM sized WHERE size > 16),
+  FROM sized WHERE size > 13),
 cut AS (SELECT DISTINCT doc_id, CAST((1073741824 - best % 1073741824) % 1073741824 AS BIGINT) AS i FROM named WHERE k <= size - 7),
 ends AS (SELECT z.*, closes OR cut.i IS NOT NULL AS ends FROM sized z LEFT JOIN cut ON cut.doc_id = z.doc_id AND cut.i = z.i),
 parts AS (SELECT *, CAST(coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS u FROM ends),
 unit AS (SELECT doc_id, u, string_agg(tok, '' ORDER BY i) AS piece, string_agg(w, ' ' ORDER BY i) AS said, min(i) AS first, max(i) + 1 AS stop FROM parts GROUP BY doc_id, u),
-need AS (SELECT *, greatest(first + 18, lead(stop) OVER (PARTITION BY doc_id ORDER BY u)) AS need, count(*) OVER (PARTITION BY doc_id) AS n FROM unit),
+need AS (SELECT *, greatest(first + 24, lead(stop) OVER (PARTITION BY doc_id ORDER BY u)) AS need, count(*) OVER (PARTITION BY doc_id) AS n FROM unit),
 full_run AS (SELECT a.doc_id, a.u, b.u AS last, a.n FROM (SELECT * FROM need WHERE u < n - 1) a ASOF JOIN unit b ON a.doc_id = b.doc_id AND a.need <= b.stop),
 tail AS (
   SELECT doc_id, max(u) AS u, any_value(n) - 1 AS last FROM full_run GROUP BY doc_id HAVING max(last) < any_value(n) - 1

@@ -579,7 +579,7 @@ def test_only_huge_conversations_come_in_parts(spark):
 # --------------------------------------------------------------------------- 9
 
 
-def brute_sentences(text, long=16, window=8):
+def brute_sentences(text, long=13, window=8):
     """(words, text) of each sentence, by the definition, a word at a time; what stands before the first word."""
     found = list(re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", text))
     lead = text[: found[0].start()] if found else text
@@ -607,7 +607,7 @@ def brute_sentences(text, long=16, window=8):
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_runs(said, run=2, least=18):
+def brute_runs(said, run=2, least=24):
     got = []
     for i in range(len(said)):
         for j in range(i + run, len(said) + 1):
@@ -619,7 +619,7 @@ def brute_runs(said, run=2, least=18):
     return got
 
 
-def brute_spans(rows, run=2, least=18):
+def brute_spans(rows, run=2, least=24):
     """What is left of each row (in order of doc_id; rows with equal ids must be equal), sentences and sentences lost."""
     seen, out, done = set(), [], set()
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
