@@ -5,8 +5,9 @@ holds one shard: its words (sorted by id of first use), how often each occurs, a
 word positions in the shard, list after list. The index knows nothing of any benchmark; it is stored as
 a table in the shared folder and can be asked again. Documents are never shuffled.
 
-Asking: phrases come in blocks of about BLOCK_BYTES of text, one after another, each sent to all tasks. In a shard a phrase's
-lists are taken rarest first; positions less the word's offset in the phrase are start positions, and
+Asking: phrases come in blocks of about BLOCK_BYTES of text, one after another. The shards' word lists (without postings) say which
+words of the block each shard holds, and how often; a phrase goes to the shards that hold its rarest word, and nowhere if a word
+is in no shard; postings are read only where a phrase goes. In a shard a phrase's lists are taken rarest first; positions less the word's offset in the phrase are start positions, and
 each further list, offset-adjusted likewise, keeps the starts it shares (exact), or the starts for which
 it has a position within ``slop`` words (proximity). Phrases with a word that the shard lacks end at
 once. What is left are occurrences; those across a border of two documents can't arise, as a position
@@ -38,7 +39,7 @@ BLOCK_BYTES = 1 << 20
 INDEX_SCHEMA = (
     "doc_id array<bigint>, n_words array<bigint>, words binary, word_rows array<int>, postings binary"
 )
-HIT_SCHEMA = "shard bigint, row int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>"
+HIT_SCHEMA = "shard bigint, row int, starts array<int>, ends array<int>, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -123,7 +124,8 @@ def _near(starts: np.ndarray, found: np.ndarray, slop: int) -> np.ndarray:
 
 def search_shard(row: dict, phrases: list[tuple], slop: int = 0) -> list[tuple[int, np.ndarray]]:
     """(phrase number, start positions in the shard) for the phrases that occur."""
-    number = {w: k for k, w in enumerate(row["words"].split(b" "))} if row["words"] else {}
+    asked = {w for p in phrases for w in p}
+    number = {w: k for k, w in enumerate(row["words"].split(b" ")) if w in asked} if row["words"] else {}
     rows = np.asarray(row["word_rows"], np.int64)
     ends = np.cumsum(rows)
     lists = np.cumsum(np.frombuffer(row["postings"], np.int32), dtype=np.int32)
@@ -178,47 +180,73 @@ def _hits_of(row: dict, phrases: list[tuple], items: list[list[str]], slop: int)
     return spans, named
 
 
+def routes(index: DataFrame, phrases: list[tuple]) -> DataFrame:
+    """shard, asked: the numbers of the phrases that go to each shard, those with a phrase only."""
+    spark = index.sparkSession
+    number: dict[bytes, int] = {}
+    for p in phrases:
+        for w in p:
+            number.setdefault(w, len(number))
+    sent = spark.sparkContext.broadcast(number)
+
+    def hold(batches):
+        lookup = sent.value
+        for batch in batches:
+            for shard, words, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                held = [(lookup[w], n) for w, n in zip(words.split(b" "), rows) if w in lookup] if words else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(held), pa.int64()), pa.array([t for t, _ in held], pa.int32()), pa.array([n for _, n in held], pa.int64())], names=["shard", "term", "n"]
+                )
+
+    holding = stored(index.select("shard", "words", "word_rows").mapInArrow(thrifty(hold), "shard bigint, term int, n bigint"), "terms")
+    total = dict(holding.groupBy("term").agg(F.sum("n")).collect())  # at most the block's words
+    rarest = []
+    for k, p in enumerate(phrases):
+        ids = [number[w] for w in p]
+        if all(i in total for i in ids):
+            rarest.append((min(ids, key=lambda i: (total[i], i)), k))
+    asked = spark.createDataFrame(rarest, "term int, phrase int")  # at most the block's phrases
+    return holding.join(F.broadcast(asked), "term").groupBy("shard").agg(F.collect_list("phrase").alias("asked"))
+
+
 def matches(index: DataFrame, phrases: dict[tuple, set], slop: int = 0) -> DataFrame:
-    """Per document of the index: merged word spans covered by a phrase, and the items they are of."""
+    """shard, row, starts, ends, items of the documents with a phrase: merged word spans covered by one, and the items they are of."""
     spark = index.sparkSession
     keys = list(phrases)
+    asked = small(stored(routes(index, keys), "routes"))
     sent = spark.sparkContext.broadcast((keys, [sorted(str(i) for i in phrases[k] if i is not None) for k in keys], slop))
 
     def ask(batches):
         keys, items, slop = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                spans, named = _hits_of(row, keys, items, slop)
-                n = len(row["doc_id"])
+            for at in range(batch.num_rows):  # a row holds a shard
+                row = batch.slice(at, 1).to_pylist()[0]
+                mine = sorted(row["asked"])
+                spans, named = _hits_of(row, [keys[k] for k in mine], [items[k] for k in mine], slop)
+                hit = sorted(spans)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["shard"]] * n, pa.int64()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array(row["doc_id"], pa.int64()),
-                        pa.array(row["n_words"], pa.int64()),
-                        pa.array([[s for s, _ in spans[d]] if d in spans else [] for d in range(n)], pa.list_(pa.int32())),
-                        pa.array([[e for _, e in spans[d]] if d in spans else [] for d in range(n)], pa.list_(pa.int32())),
-                        pa.array([sorted(named[d]) if d in named else [] for d in range(n)], pa.list_(pa.string())),
+                        pa.array([row["shard"]] * len(hit), pa.int64()),
+                        pa.array(hit, pa.int32()),
+                        pa.array([[s for s, _ in spans[d]] for d in hit], pa.list_(pa.int32())),
+                        pa.array([[e for _, e in spans[d]] for d in hit], pa.list_(pa.int32())),
+                        pa.array([sorted(named[d]) for d in hit], pa.list_(pa.string())),
                     ],
-                    names=["shard", "row", "doc_id", "n_words", "starts", "ends", "items"],
+                    names=["shard", "row", "starts", "ends", "items"],
                 )
 
-    return index.mapInArrow(thrifty(ask), HIT_SCHEMA)
+    return index.join(asked, "shard").mapInArrow(thrifty(ask), HIT_SCHEMA)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The number of blocks, and the blocks: lists of (item_id, text), each of about block_bytes, one in memory at a time."""
+    """The benchmark in blocks: lists of (item_id, text), each of about block_bytes, one in memory at a time."""
     text = F.coalesce("text", F.lit(""))
     whole = benchmark.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-whole // block_bytes))
     rows = benchmark.select("item_id", "text").distinct()
-
-    def each():
-        for k in range(n):
-            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-            yield [(r["item_id"], r["text"]) for r in part.collect()]
-
-    return n, each()
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def find_leaks(
@@ -227,13 +255,9 @@ def find_leaks(
     """One row per document: doc_id, n_words, spans (array of start, end in words), items (array of item ids)."""
     index = build_index(docs, shard_bytes)
     pair = F.arrays_zip("starts", "ends")
-    n, blocks = _blocks(benchmark, block_bytes)
-    if n == 1:
-        found = matches(index, windows_of(next(blocks), window), slop)
-        return found.select("shard", "row", "doc_id", "n_words", pair.alias("spans"), "items")
     union = None
-    for block in blocks:  # what a block found is written before the next one is read
-        found = stored(matches(index, windows_of(block, window), slop).where(F.size("starts") > 0).select("shard", "row", pair.alias("spans"), "items"), "hits")
+    for block in _blocks(benchmark, block_bytes):  # what a block found is written before the next one is read
+        found = stored(matches(index, windows_of(block, window), slop).select("shard", "row", pair.alias("spans"), "items"), "hits")
         union = found if union is None else union.unionByName(found)
     rows = union.groupBy("shard", "row").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
