@@ -156,6 +156,18 @@ def thrifty(function):
     return run
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Plans that run inside send at most n rows in an Arrow batch: for rows that hold many texts, of which the usual number takes memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(text: bytes, n_bytes: int, piece: int = 1024) -> list[bytes]:
     """At most n_bytes of the text in pieces from all over it, by the hash of their number; the whole text if it fits."""
     if len(text) <= n_bytes:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, mix64, small, stored, thrifty
+from foliospark.llm.common import WORD_BYTES, batch_rows, mix64, small, stored, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -336,14 +336,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     head = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("leader"))
     led = stored(members.select("bucket", "band", "node").join(head, "bucket"), "led")
     pairs = led.where("node <> leader").select("node", "leader").distinct()
-    compared = stored(_with_leaders(pairs, texts), "compared")
+    with batch_rows(docs.sparkSession, 2 * PAIRS):
+        compared = stored(_with_leaders(pairs, texts), "compared")
     links = compared.where(F.col("sim") >= threshold).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     comp = stored(components(links), "components")
     # what is left of a bucket without its leader, if it is of several components
     rest = led.where("node <> leader").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rest = rest.join(mixed, "bucket").join(compared, ["node", "leader"]).select("bucket", "band", "node", "comp", (1 - F.col("sim")).alias("far"))
-    more = stored(_between_blocks(stored(rest, "open"), texts.select("node", "bands", "text"), threshold), "links")
+    rest = stored(rest, "open")
+    with batch_rows(docs.sparkSession, BLOCK):
+        more = stored(_between_blocks(rest, texts.select("node", "bands", "text"), threshold), "links")
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
     rows = keyed.select("doc_id", "text_hash", "sequence", "row_no")
