@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, span_hashes, stored, thrifty
+from foliospark.llm.common import WORD_BYTES, drop_tables, recording, span_hashes, stored, thrifty
 
 RUN = 2
 MIN_WORDS = 24
@@ -176,17 +176,21 @@ def repeated_runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, l
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
-    table = stored(rows.mapInArrow(thrifty(cut), schema).withColumn("no", F.monotonically_increasing_id()), "runs")
-    flat = table.select("no", F.inline(F.arrays_zip("span", "h", "g")))
-    # half the hash is enough to drop most runs; stored, so that the join deals both sides anew and Spark can split hot runs
-    often = stored(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
+    passing: list[str] = []
+    with recording(passing):
+        table = stored(rows.mapInArrow(thrifty(cut), schema).withColumn("no", F.monotonically_increasing_id()), "runs")
+        flat = table.select("no", F.inline(F.arrays_zip("span", "h", "g")))
+        # half the hash is enough to drop most runs; stored, so that the join deals both sides anew and Spark can split hot runs
+        often = stored(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
     shared = flat.join(often.hint("shuffle_hash"), "h").join(table.select("no", "doc_id", "text_hash"), "no").drop("no")
     shared = stored(shared, "shared")
+    every = stored(table.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "every")
+    drop_tables(docs.sparkSession, passing)  # most runs occur once
     first = stored(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "span")).alias("first")), "first")
     same = [F.col(f"first.{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "text_hash", "span")]
     later = shared.join(first, ["h", "g"]).where(~(same[0] & same[1] & same[2]))
     gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
-    return gone, table.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return gone, every
 
 
 def _numbered(plain: DataFrame, doc: str, twice: DataFrame) -> DataFrame:
