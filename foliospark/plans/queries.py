@@ -6,6 +6,9 @@ values they were made of, recursions and folds with joins and list functions.
 
 from __future__ import annotations
 
+import base64
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1041,6 +1044,56 @@ def extract_files(spark, sf):
     return rows.select("path", F.replace("text", F.lit("\u00a0"), F.lit(" ")).alias("text"), "pages", "method", F.array_join("warnings", "; ").alias("warnings"))
 
 
+def _zip(*entries: tuple[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        for name, text in entries:
+            z.writestr(zipfile.ZipInfo(name), text)
+    return out.getvalue()
+
+
+_W = 'xmlns:w="urn:w"'
+_LONG_ODT = " ".join(f"Wort {k}" for k in range(400))
+#: Small files of each kind, and their text.
+SAMPLES = (
+    ("a.docx", _zip(("word/document.xml", f"<w:document {_W}><w:p><w:t>Hallo</w:t><w:tab/><w:t>du</w:t></w:p><w:p><w:t>Welt</w:t></w:p></w:document>"), ("word/header1.xml", f"<w:hdr {_W}><w:p><w:t>Kopf</w:t></w:p></w:hdr>"), ("word/footnotes.xml", f"<w:f {_W}><w:p><w:t>Note</w:t></w:p></w:f>")), "Kopf\n\nHallo du\nWelt\n\nNote"),
+    ("b.pptx", _zip(("ppt/slides/slide10.xml", f"<a {_W}><w:p><w:t>zehn</w:t></w:p></a>"), ("ppt/slides/slide2.xml", f"<a {_W}><w:p><w:t>zwei</w:t></w:p></a>")), "zwei\n\nzehn"),
+    ("c.xlsx", _zip(("xl/workbook.xml", "<x/>"), ("xl/sharedStrings.xml", "<sst><si><t>Wort</t></si></sst>"), ("xl/worksheets/sheet1.xml", '<x><row><c t="s"><v>0</v></c><c><v>1.5</v></c></row><row><c t="inlineStr"><is><t>in</t></is></c></row></x>')), "Wort 1.5\nin"),
+    ("d.odt", _zip(("mimetype", "application/vnd.oasis.opendocument.text"), ("content.xml", f'<o:x xmlns:o="o" xmlns:text="t"><text:h>Titel</text:h><text:p>a<text:s text:c="3"/>b<text:line-break/>{_LONG_ODT}</text:p></o:x>')), f"Titel\na b\n{_LONG_ODT}"),
+    ("e.rtf", rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\gen x}Gr\'fc\u223?e\par Zeile zwei}", "Grüße\nZeile zwei"),
+    ("f.eml", b"From: a@example.com\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\nContent-Type: text/html; charset=utf-8\n\n<p>Hi<br>du</p>", "From: a@example.com\nSubject: Grüße\n\nHi\ndu"),
+    ("g.doc", b"\x00\x01" + "Hallo Welt".encode("utf-16le") + b"\xff\xfe", "Hallo Welt"),
+    ("h.txt", "Ümlaut".encode("cp1252"), "Ümlaut"),
+    ("i.md", b"\xef\xbb\xbfMarke\r\n\r\n\r\n\r\nEnde ", "Marke\n\nEnde"),
+    ("j.HTM", "<style>x</style><p>Hallo &amp; Tsch&uuml;ss</p>".encode(), "Hallo & Tschüss"),
+    ("k.docx", b"kaputt", ""),
+    ("l.xyz", b"x", ""),
+)
+
+
+#: Those that get smaller.
+PACKED = ("d.odt",)
+
+
+def _samples(spark: SparkSession) -> DataFrame:
+    rows = rows_of(spark, "path content", *[(n, base64.b64encode(c).decode()) for n, c, _ in SAMPLES])
+    return rows.select("path", F.unbase64("content").alias("content"))
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(t)})' for n, _, t in SAMPLES)}) t(path, text)")
+def parsed_files(spark, sf):
+    return sources.extract_files(_samples(spark)).select("path", "text")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(t)}, {str(n in PACKED).lower()})' for n, _, t in SAMPLES)}) t(path, text, smaller)")
+def repacked_files(spark, sf):
+    """The files packed again, read once more: nothing is lost, and the one that can be is smaller."""
+    packed = sources.recompress(_samples(spark))
+    smaller = F.col("stored_size") < F.col("size")
+    again = sources.extract_files(packed.withColumn("less", smaller & (F.col("path").isin(*PACKED))))
+    return again.select("path", "text", F.col("less").alias("smaller"))
+
+
 @query(
     "WITH f AS (SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || CASE WHEN doc_id % 7 = 0 THEN '.exe' WHEN doc_id % 7 = 1 THEN '.TXT' ELSE '.md' END AS path, doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents), "
     "known AS (SELECT sha256 FROM f WHERE doc_id % 10 = 3), first AS (SELECT sha256, min(path) AS path FROM f WHERE doc_id % 7 <> 0 GROUP BY sha256) "
