@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -18,8 +19,9 @@ from foliospark.functions import text as T
 from foliospark.functions.reference_data import STOPWORDS
 from foliospark.operators import catalog, classify, export, folders, metadata, search, terms
 from foliospark.plans import bindings as B
-from foliospark.plans.store import stored
+from foliospark.plans.store import shared_folder, stored
 from foliospark.sources import files as sources
+from foliospark.streaming import importer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1107,6 +1109,49 @@ def import_gate(spark, sf):
     return accepted.select("path", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("path", "error"))
 
 
+_INVOICE = "Stadtwerke Musterstadt GmbH\nRechnung Nr. 5\nDatum: 14.03.2026\nZählerstand Strom\nRechnungsbetrag: 1.234,56 EUR"
+#: Files of two import runs, and what becomes of them: text, kind, amount, or the reason why not.
+IMPORTS = (
+    (1, "a.txt", _INVOICE.encode(), _INVOICE, "Rechnung", 1234.56, None),
+    (1, "b.txt", _INVOICE.encode(), None, None, None, "bereits vorhanden"),
+    (1, "c.exe", b"x", None, None, None, "Dateityp .exe wird nicht unterstützt"),
+    (1, "d.odt", SAMPLES[3][1], SAMPLES[3][2], None, None, None),
+    (2, "e.md", _INVOICE.encode(), None, None, None, "bereits vorhanden"),
+    (2, "f.eml", SAMPLES[5][1], SAMPLES[5][2], None, None, None),
+)
+
+
+def _null(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else quoted(v)
+
+
+@query(
+    f"SELECT run, name, text, doc_type, CAST(amount AS DOUBLE) AS amount, error FROM (VALUES {', '.join('(' + ', '.join(map(_null, (r[0], r[1], r[3], r[4], r[5], r[6]))) + ')' for r in IMPORTS)}) t(run, name, text, doc_type, amount, error) "
+    "UNION ALL SELECT * FROM (VALUES (1, 'summary', 'imported 2, duplicates 1, errors 1', NULL, NULL, NULL), (2, 'summary', 'imported 1, duplicates 1, errors 0', NULL, NULL, NULL))"
+)
+def import_runs(spark, sf):
+    """Two runs of the streaming import over a folder, and a third that finds nothing."""
+    root = f"{shared_folder(spark)}/foliospark-steps/import-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in (1, 2, 3):
+        for r in IMPORTS:
+            if r[0] == run:
+                out = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/landing/{r[1]}"))
+                out.write(bytearray(r[2]))
+                out.close()
+        importer.start_import(spark, f"{root}/landing", f"{root}/store", as_of_year=AS_OF_YEAR).awaitTermination()
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("name")
+    read = lambda t, schema: importer.read_table(spark, f"{root}/store", t, schema)
+    run = (F.col("batch") + 1).cast("int").alias("run")
+    none = lambda kind: F.lit(None).cast(kind)
+    done = read("documents", importer.STORE_SCHEMA).select(run, name, "text", "doc_type", "amount", none("string").alias("error"))
+    refused = read("rejects", importer.REJECT_SCHEMA).select(run, name, none("string").alias("text"), none("string").alias("doc_type"), none("double").alias("amount"), "error")
+    said = F.format_string("imported %d, duplicates %d, errors %d", "imported", "duplicates", "errors")
+    totals = importer.summaries(spark, f"{root}/store").select(run, F.lit("summary").alias("name"), said.alias("text"), none("string").alias("doc_type"), none("double").alias("amount"), none("string").alias("error"))
+    return done.unionByName(refused).unionByName(totals)
+
+
 #: Remote files, what they are called here, and why not.
 REMOTE = (
     ("Brief.v2.gdoc", "application/vnd.google-apps.document", "Brief.v2.pdf", None),
