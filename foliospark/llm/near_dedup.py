@@ -44,6 +44,8 @@ BATCH_BYTES = 1 << 20
 BLOCK, SLICES = 64, 20
 #: Pairs whose shingles are in memory together.
 PAIRS = 256
+#: Distinct shingles of a block's texts, 16 bytes each, that a task keeps from one comparison of blocks to the next.
+HELD = 1 << 20
 
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
@@ -290,6 +292,7 @@ def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
 
     def verify(batches):
         bag: dict = {}
+        held = 0
         for batch in batches:
             a, b = [], []
             for at in range(batch.num_rows):  # a row holds the texts of two blocks, so one is unpacked at a time
@@ -298,9 +301,11 @@ def _between_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
                 for side in "lr":
                     texts |= dict(zip(row[f"{side}_nodes"], row[f"{side}_texts"]))
                 new = [n for n in texts if n not in bag]
-                if len(bag) > 4 * BLOCK:
-                    bag, new = {}, list(texts)
-                bag |= dict(zip(new, _bags([texts[n].encode() for n in new])))
+                if held > HELD:
+                    bag, new, held = {}, list(texts), 0
+                fresh = dict(zip(new, _bags([texts[n].encode() for n in new])))
+                held += sum(len(e) for e, _ in fresh.values())
+                bag |= fresh
                 ours, theirs = (np.array(row[f"{side}_bands"], np.int64) for side in "lr")
                 first = (ours[:, None, :] == theirs[None, :, :]).argmax(2)
                 other = np.array(row["l_comps"])[:, None] != np.array(row["r_comps"])[None, :]
