@@ -86,6 +86,21 @@ FORMS = "".join(c for c, b in zip(SINGLE, SINGLE_BASES) if unicodedata.normalize
 FORM_BASES = "".join(b for c, b in zip(SINGLE, SINGLE_BASES) if c in FORMS)
 
 
+def _ordinary() -> str:
+    """A short class of the letters and signs of European texts that umlauts written out and accents dropped are all of norm for."""
+
+    def quick(c: str) -> str:
+        for umlaut, letters in UMLAUTS:
+            c = c.lower().replace(umlaut, letters)
+        return c.translate(str.maketrans(ACCENTED, BASES))
+
+    codes = [*range(0x80), *range(0xA0, 0x180), *range(0x2010, 0x2040), 0x20AC]
+    return _ranges([c for c in codes if quick(chr(c)) == norm_py(chr(c)) and not unicodedata.combining(chr(c))])
+
+
+ORDINARY = _ordinary()
+
+
 def _constant_map(pairs: dict[str, str]) -> Column:
     """A map out of one literal, which the optimizer folds once; no key or value holds the two control characters."""
     return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
@@ -117,8 +132,14 @@ def norm(text: Column) -> Column:
         each = F.transform(F.regexp_extract_all(t, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(table, c), c))
         return F.array_join(each, "")
 
+    def plain(t: Column) -> Column:
+        for umlaut, letters in UMLAUTS:
+            t = F.replace(t, F.lit(umlaut), F.lit(letters))
+        return F.translate(t, ACCENTED, BASES)
+
     def beyond_ascii(t: Column) -> Column:
-        return F.when(t.rlike(SEVERAL_CLASS), written(resolved(t))).otherwise(written(t))
+        rare = F.when(t.rlike(SEVERAL_CLASS), written(resolved(t))).otherwise(written(t))
+        return F.when(~t.rlike("[^" + ORDINARY[1:]), plain(t)).otherwise(rare)
 
     return _ascii_fast(text, beyond_ascii)
 
