@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.sources.files import strip_markup
 
 
 def one(spark, value, f):
@@ -55,6 +56,13 @@ def test_html_and_cleaning(spark):
     assert one(spark, "a \t b\r\n\n\n\n c\x00 ", T.clean_text) == "a b\n\nc"
 
 
+def test_entities_cut_off_before_their_semicolon(spark):
+    """As HTML 5 and html.unescape have it: names of the old list need no semicolon, others and parts of names stay."""
+    source = "<h1>a&amp;&amp</h1>&copy x &am</p>"
+    assert one(spark, source, T.html_to_text) == " a&& © x &am\n"
+    assert strip_markup(source) == " a&& © x &am\n"
+
+
 def test_export_texts(spark):
     assert one(spark, "Wohnen / Energie", T.storage_template) == "Wohnen/Energie/{{ created_year }}-{{ created_month }}-{{ created_day }}_{{ title }}"
     assert one(spark, "A", lambda c: T.storage_template(c, False)) == "A/{created_year}-{created_month}-{created_day}_{title}"
