@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import drop_tables, recording, stored
+from foliospark.llm.common import TEXT_ROWS, batch_rows, drop_tables, recording, stored
 from foliospark.llm.decontamination import drop_leaks
 from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.language_id import UNKNOWN, held_out, identify, trained
@@ -51,7 +51,8 @@ def bits_bound(docs: DataFrame, model: dict) -> float | None:
     """Bits per byte beyond which a text is in none of the learned languages; None with too few labelled texts to tell."""
     labelled = docs.where(held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = identify(labelled, model, keep=[]).where(F.col("lang_pred") != UNKNOWN)
-    n, rate = rates.agg(F.count(F.lit(1)), F.percentile_approx("bits_per_byte", QUANTILE)).first()
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        n, rate = rates.agg(F.count(F.lit(1)), F.percentile_approx("bits_per_byte", QUANTILE)).first()
     return MARGIN * rate if n >= LEAST else None
 
 

@@ -10,8 +10,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -127,6 +130,16 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by Arrow: with a list, createDataFrame starts Python workers of another kind on the executors, which stay there."""
+    fields = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.types)], schema=kinds), fields)
+
+
+#: Rows of whole texts that a plan sends in an Arrow batch, where the plan runs inside the operator (batch_rows).
+TEXT_ROWS = 1024
+
 #: Rows of an Arrow batch that are unpacked into Python objects together.
 SLICE_ROWS = 512
 
@@ -193,7 +206,7 @@ def lowest(rows: DataFrame, group: str, n: int, max_groups: int) -> list:
     kind = rows.schema[group].dataType.simpleString()
     out: list = []
     while bounds:
-        table = rows.sparkSession.createDataFrame(list(bounds.items()), f"`{group}` {kind}, _bound long")
+        table = local_table(rows.sparkSession, list(bounds.items()), f"`{group}` {kind}, _bound long")
         got: dict = {g: [] for g in bounds}
         for r in rows.join(F.broadcast(table), group).where(place < F.col("_bound")).select(*rows.columns).distinct().collect():
             got[r[group]].append(r)

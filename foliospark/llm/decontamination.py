@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, small, stored, thrifty
+from foliospark.llm.common import TEXT_ROWS, WORD_BYTES, batch_rows, local_table, small, stored, thrifty
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -101,7 +101,8 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     shards = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(thrifty(index), INDEX_SCHEMA)
-    return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return stored(shards.withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
 def windows_of(items: list[tuple], window: int) -> dict[tuple, set]:
@@ -205,7 +206,7 @@ def routes(index: DataFrame, phrases: list[tuple]) -> DataFrame:
         ids = [number[w] for w in p]
         if all(i in total for i in ids):
             rarest.append((min(ids, key=lambda i: (total[i], i)), k))
-    asked = spark.createDataFrame(rarest, "term int, phrase int")  # at most the block's phrases
+    asked = local_table(spark, rarest, "term int, phrase int")  # at most the block's phrases
     return holding.join(F.broadcast(asked), "term").groupBy("shard").agg(F.collect_list("phrase").alias("asked"))
 
 
@@ -257,7 +258,8 @@ def find_leaks(
     pair = F.arrays_zip("starts", "ends")
     union = None
     for block in _blocks(benchmark, block_bytes):  # what a block found is written before the next one is read
-        found = stored(matches(index, windows_of(block, window), slop).select("shard", "row", pair.alias("spans"), "items"), "hits")
+        with batch_rows(docs.sparkSession, 1):  # a row holds a shard
+            found = stored(matches(index, windows_of(block, window), slop).select("shard", "row", pair.alias("spans"), "items"), "hits")
         union = found if union is None else union.unionByName(found)
     rows = union.groupBy("shard", "row").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),

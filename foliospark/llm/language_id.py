@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import LETTERS, lowest, spread, thrifty
+from foliospark.llm.common import LETTERS, local_table, lowest, spread, thrifty
 
 ORDER = 3
 SAMPLE_DOCS = 400
@@ -162,7 +162,7 @@ def _sample(docs: DataFrame, n_docs: int, n_bytes: int, max_langs: int = MAX_LAN
     out: dict[str, list[bytes]] = {}
     if not chosen:
         return out
-    asked = docs.sparkSession.createDataFrame(chosen, "lang string, h long, n int")
+    asked = local_table(docs.sparkSession, chosen, "lang string, h long, n int")
     found = keyed.join(F.broadcast(asked), ["lang", "h", "n"], "left_semi").groupBy("lang", "h", "n").agg(F.min("text").alias("text"))
     for r in found.select("lang", "text").toLocalIterator():
         out.setdefault(r["lang"], []).extend(spread(r["text"].encode(), n_bytes))
@@ -179,17 +179,19 @@ def identify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
     keep = ["doc_id"] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast({"model": model})
     names = [f"_fs_{i}" for i in range(len(keep))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("text").alias("_fs_text"))
+    at_text = keep.index("text") if "text" in keep else len(keep)  # a text that is kept is sent once
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *([] if at_text < len(keep) else [F.col("text").alias("_fs_text")]))
 
     def score(batches):
         got = sent.value
         if "tables" not in got:  # a worker keeps the broadcast value between tasks
             got["tables"] = flatten(got["model"]) if got["model"]["langs"] else {"langs": []}
+            del got["model"]
         tables = got["tables"]
         langs = tables["langs"]
         most = min(BATCH_BYTES, max(1 << 12, (BATCH_BYTES << 4) // max(1, len(langs))))
         for batch in batches:
-            texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(at_text).cast(pa.binary()).to_pylist()]
             ok = np.array([has_letter(t) for t in texts], bool) if langs else np.zeros(len(texts), bool)
             best, p, rate = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             at, size = [], 0

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import WORD_BYTES, batch_rows, mix64, small, stored, thrifty
+from foliospark.llm.common import TEXT_ROWS, WORD_BYTES, batch_rows, mix64, small, stored, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -213,7 +213,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return stored(rows.mapInArrow(thrifty(sign), schema).withColumn("row_no", F.monotonically_increasing_id()), "signatures")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        return stored(rows.mapInArrow(thrifty(sign), schema).withColumn("row_no", F.monotonically_increasing_id()), "signatures")
 
 
 def components(edges: DataFrame) -> DataFrame:

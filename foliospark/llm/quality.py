@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import lowest, spread, thrifty
+from foliospark.llm.common import local_table, lowest, spread, thrifty
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 1000
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = SAMPLE_DOCS) -> dict:
     rows = [(d, q, k, most[q]) for q, ids in chosen.items() for k, d in enumerate(ids)]
     if not rows:
         return {"share": 0.5}
-    few = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int, k int, most int")  # 2 * n_docs short rows at most
+    few = local_table(docs.sparkSession, rows, "doc_id long, quality int, k int, most int")  # 2 * n_docs short rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").where("text <> ''")
     texts = texts.groupBy("quality", "k", "most").agg(F.min("text").alias("text"))
     # every other text of a class, in the order of its hash, trains its dictionary

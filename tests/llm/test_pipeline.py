@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from foliospark.llm import common, decontamination, near_dedup
 from test_corpus_operators import brute_classes, words
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,25 @@ def test_stage_values_on_a_small_table(spark):
     leaky = {r.doc_id for r in three for w in [words(r.text)] for n in sizes if any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1))}
     assert sorted(r.doc_id for r in four) == sorted({r.doc_id for r in three} - leaky)
     assert 0 < len(four) < len(three) < len(two) < len(rows)
+
+
+def test_stages_send_small_arrow_batches_and_no_text_twice(spark, monkeypatch):
+    """Memory outside the heap: what a stage sends to Python, and that nothing but Arrow functions starts workers there."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = p.language_id(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_fs_text" not in plan
+    few = common.local_table(spark, [("de", 1, None), (None, 2, 3)], "lang string, h long, n int")
+    assert "ExistingRDD" not in few._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in few.collect()] == [("de", 1, None), (None, 2, 3)] and few.dtypes == [("lang", "string"), ("h", "bigint"), ("n", "int")]
+    assert common.local_table(spark, [], "a int").count() == 0
+    sent: dict = {}
+
+    def noted(df, name, write=common.stored):
+        sent[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return write(df, name)
+
+    for module in (decontamination, near_dedup):
+        monkeypatch.setattr(module, "stored", noted)
+    p.near_copies(spark, docs, SF)
+    p.benchmark_leaks(spark, docs, SF)
+    assert sent["signatures"] == sent["postings"] == common.TEXT_ROWS and sent["terms"] == sent["hits"] == 1
